@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import mixing, secrets, token_store, topk, warc
+from sylva.llm import decontaminate, jaccard_join, langid, mixing, quality, secrets, token_store, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.op1_token_store,
+        "op2_language_id": langid.op2_language_id,
         "op3_source_mix": mixing.op3_source_mix,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_secrets": secrets.op6_secrets,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_quality": quality.op8_quality,
         "op9_warc": warc.op9_warc,
         "op10_exact_topk": topk.op10_exact_topk,
     }
