@@ -82,3 +82,32 @@ def sort_keys(df: DataFrame, column: str, name: str = "sort_key") -> DataFrame:
         return pd.Series([None if t is None else sort_key(decode(t)) for t in texts])
 
     return df.withColumn(name, F.pandas_udf(key, "binary")(F.col(column)))
+
+
+def yq_documents(df: DataFrame, column: str, expression: str, input_format: str = "yaml", output_format: str = "yaml", keep: list[str] | None = None) -> DataFrame:
+    """Evaluate a YAML expression on each text of a column: printed matches in ``value``; errors go to ``error``."""
+    keep = keep or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sylva.functions.values import JqError
+        from sylva.operators.yq_eval import yq
+        from sylva.sources.nodes import YqError
+
+        for batch in batches:
+            out, errors = [], []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                try:
+                    out.append(yq(expression, text or "", input_format, output_format))
+                    errors.append(None)
+                except (YqError, JqError) as e:
+                    out.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*keep, "value", "error"])
+
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) if keep else ""
+    return df.select(*keep, F.col(column).cast("string").alias("__doc")).mapInArrow(run, types + "value string, error string")
+
+
+def converted(df: DataFrame, column: str, input_format: str, output_format: str, keep: list[str] | None = None) -> DataFrame:
+    """Each text of a column in another format."""
+    return yq_documents(df, column, ".", input_format, output_format, keep)

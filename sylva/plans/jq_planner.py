@@ -183,7 +183,7 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     if ka == kb == "string":
         x, y = as_text(a).col, as_text(b).col
         if op == "+":
-            return Value(F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))) if not (a.is_literal or b.is_literal) else F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))), T.StringType())
+            return Value(F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))), T.StringType())
         if op == "/":
             return split(a, b)
     if ka == kb == "array":
@@ -618,7 +618,7 @@ class Scalars:
         raise NotPlanned("contains")
 
     def call_inside_1(self, cur, a):
-        return self.lower(a, cur).__class__ and Scalars(self.vars | {"$__in": cur}, self.functions).lower(("call", "contains", [("variable", "$__in")]), self.lower(a, cur))
+        return Scalars(self.vars | {"$__in": cur}, self.functions).lower(("call", "contains", [("variable", "$__in")]), self.lower(a, cur))
 
     def call_has_1(self, cur, a):
         k = self.lower(a, cur)
@@ -963,7 +963,7 @@ class Planner:
             return self.over_stream(("index", ("identity",), node[2]), self.over_stream(node[1], s))
         if node[0] == "call" and node[1] == "to_entries" and s.value.fields is not None:
             return self.entries_of(s)
-        if node[0] == "call" and node[1] in ("range", "splits", "scan") :
+        if node[0] == "call" and node[1] in ("range", "splits", "scan"):
             return self.generated(node, s)
         if node[0] == "object":
             gens = [k for k, (_, v) in enumerate(node[1]) if _generates(v)]
@@ -1028,7 +1028,7 @@ class Planner:
         if k == "identity":
             return s
         if k == "iterate":
-            return self.steps(node[1], s) if node[1][0] != "identity" and False else replace_state(self.inner(node[1], s), form="stream")
+            return replace_state(self.inner(node[1], s), form="stream")
         if k == "collect":
             return replace_state(self.steps(node[1], s), form="array") if not self.single_collect(node) else self.aggregate(node, s)
         if k == "index" and (node[1][0] == "call" or node[1] == ("identity",)):
@@ -1172,7 +1172,7 @@ class Planner:
 
     def edge(self, s: State, pick, key: Value | None = None) -> Column:
         """The row with the smallest or largest (key, order)."""
-        parts = [_bare(c).alias(f"k{n}") for n, c in enumerate([*(order_key(key) if key else []), *s.order])] if True else []
+        parts = [_bare(c).alias(f"k{n}") for n, c in enumerate([*(order_key(key) if key else []), *s.order])]
         nulls = []
         for n, c in enumerate([*([key.col] if key else [])]):
             nulls.append(c.isNotNull().alias(f"n{n}"))

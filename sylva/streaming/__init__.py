@@ -1 +1,41 @@
+"""Filters over unbounded input: stateless programs on Structured Streaming, and running folds by key."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva.api import jq_documents
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of JSON lines as files arrive in a folder."""
+    return spark.readStream.text(path).withColumnRenamed("value", "doc")
+
+
+def filtered(stream: DataFrame, program: str, column: str = "doc", keep: list[str] | None = None) -> DataFrame:
+    """Evaluate a filter on each document of a stream; outputs keep no state, so any output mode and restart will do."""
+    return jq_documents(stream, column, program, keep=keep)
+
+
+def running(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """A running sum of ``value`` by ``key``, as foreach gives over each key's rows in order of arrival."""
+    import pandas as pd
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        total, n = state.get if state.exists else (0.0, 0)
+        for batch in batches:
+            total += float(batch["v"].sum())
+            n += len(batch)
+        state.update((total, n))
+        yield pd.DataFrame({"key": [name[0]], "total": [total], "n": [n]})
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, total double, n long", "total double, n long", "update", "NoTimeout")
+
+
+def windowed(stream: DataFrame, ts: str, length: str, late: str, keys: list[str], aggregates: dict) -> DataFrame:
+    """Event-time windows with a watermark; ``aggregates``: name -> aggregate column."""
+    return stream.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
