@@ -1218,7 +1218,9 @@ class Planner:
             raise NotPlanned("a lookup table has key and value")
         k, v = self.fresh("key"), self.fresh("match")
         right = table.select(F.col("key").alias(k), F.col("value").alias(v))
-        key = text(self.scalars.lower(f, s.value))
+        key = self.scalars.lower(f, s.value)
+        if kind(key) != "string":
+            raise NotPlanned("an object is indexed by strings")
         df = s.df.join(right, key.col == F.col(k), "left")
         pair = Value(None, None, {"row": s.value, "match": typed(F.col(v), right.schema[v].dataType)})
         return replace_state(s, df=df, value=pair)

@@ -147,14 +147,14 @@ QUERIES: dict[str, Query] = {
         "SELECT vec_id, list_min(embedding) AS low, list_max(embedding) AS high, list_sort(embedding)[33] AS mid FROM embeddings"),
     "combinations_generators": Query("region", ".[] | {r: .r_regionkey, k: range(3)}", "SELECT r_regionkey AS r, k FROM region, range(3) t(k)"),
     # ---- joins
-    "index_join_lookup": Query("customer", "JOIN($nations; .c_nationkey) | .[] | {k: .row.c_custkey, nation: .match.n_name}",
+    "index_join_lookup": Query("customer", "JOIN($nations; .c_nationkey | tostring) | .[] | {k: .row.c_custkey, nation: .match.n_name}",
         "SELECT c_custkey AS k, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", lookups=(("nations", "nation", "INDEX(.n_nationkey)"),)),
-    "join_left_missing": Query("documents", "JOIN($labels; .doc_id) | .[] | {doc_id: .row.doc_id, q: (.match.quality // -1)}",
+    "join_left_missing": Query("documents", "JOIN($labels; .doc_id | tostring) | .[] | {doc_id: .row.doc_id, q: (.match.quality // -1)}",
         "SELECT d.doc_id, coalesce(l.quality, -1) AS q FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, rowid_) AS quality FROM (SELECT *, row_number() OVER () AS rowid_ FROM labels) GROUP BY 1) l USING (doc_id)", lookups=(("labels", "labels", "INDEX(.doc_id)"),)),
     "in_semi": Query("orders", ".[] | select(.o_orderpriority | IN(\"1-URGENT\", \"2-HIGH\")) | {o_orderkey}", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "cross_theta_join": Query("nation", ".[] as $n | $regions[] as $r | select($n.n_regionkey == $r.r_regionkey) | {n: $n.n_name, r: $r.r_name}",
         "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey", lookups=(("regions", "region", "."),)),
-    "join_then_group": Query("customer", '[JOIN($nations; .c_nationkey) | .[] | {nation: .match.n_name, bal: .row.c_acctbal}] | group_by(.nation) | map({nation: .[0].nation, n: length, bal: (map(.bal) | add)})',
+    "join_then_group": Query("customer", '[JOIN($nations; .c_nationkey | tostring) | .[] | {nation: .match.n_name, bal: .row.c_acctbal}] | group_by(.nation) | map({nation: .[0].nation, n: length, bal: (map(.bal) | add)})',
         "SELECT n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", lookups=(("nations", "nation", "INDEX(.n_nationkey)"),)),
 }
 

@@ -89,6 +89,8 @@ def _fault_row(c: Node):
 
 
 def read_xml(text: str, prefix: str = "+@", content: str = "+content") -> list[Node]:
+    if not text.strip():
+        return []
     parser = expat.ParserCreate(namespace_separator=None)
     root = mapping([])
     stack: list[tuple[Node, list[str]]] = [(root, [])]
