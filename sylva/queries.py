@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.api import jq, jq_documents
+from sylva.api import jq, jq_documents, sort_keys, yq_documents
+from sylva.sources.readers import events
 
 
 @dataclass
@@ -125,6 +126,23 @@ QUERIES: dict[str, Query] = {
         "SELECT vec_id AS id, embedding[1] AS a, embedding[2] AS b FROM embeddings"),
     "stream_select": Query("events", 'select(.event_type == "click" and .value > 50) | {event_id, value}',
         "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 50", mode="stream"),
+    "not_in_anti": Query("orders", '.[] | select(.o_orderstatus | IN("O", "F") | not) | {o_orderkey}', "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'F')"),
+    "array_any_all": Query("embeddings", ".[] | {vec_id, some: (.embedding | any(. > 0.3)), every: (.embedding | all(. < 0.3))}",
+        "SELECT vec_id, len(list_filter(embedding, lambda x: x > CAST(0.3 AS DOUBLE))) > 0 AS some, len(list_filter(embedding, lambda x: x < CAST(0.3 AS DOUBLE))) = len(embedding) AS every FROM embeddings"),
+    "array_minus": Query("part", '.[] | {k: .p_partkey, rest: ((.p_type | split(" ")) - ["STANDARD", "STEEL"] | join("+"))}',
+        "SELECT p_partkey AS k, array_to_string(list_filter(string_split(p_type, ' '), lambda x: x NOT IN ('STANDARD', 'STEEL')), '+') AS rest FROM part"),
+    "array_map_select": Query("embeddings", ".[] | {vec_id, n: ([.embedding[] | select(. > 0)] | length), top: (.embedding | map(. * 10 | floor) | max)}",
+        "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n, CAST(list_max(list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 10))) AS DOUBLE) AS top FROM embeddings"),
+    "add_strings_join": Query("nation", '[.[] | .n_name] | join(", ") | {names: .}', "SELECT string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation", order=("n_nationkey",)),
+    "range_sequence": Query("region", '.[] | {r: .r_regionkey, k: range(.r_regionkey; 5)}', "SELECT r_regionkey AS r, k FROM region, range(5) t(k) WHERE k >= r_regionkey"),
+    "comma_outputs": Query("nation", ".[] | {v: (.n_nationkey, .n_regionkey)}", "SELECT n_nationkey AS v FROM nation UNION ALL SELECT n_regionkey FROM nation"),
+    "group_min_by_row": Query("orders", "group_by(.o_custkey) | map({c: .[0].o_custkey, cheapest: (min_by(.o_totalprice) | .o_orderkey), dearest: (max_by(.o_totalprice) | .o_orderkey)})",
+        "SELECT o_custkey AS c, arg_min(o_orderkey, o_totalprice) AS cheapest, arg_max(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY 1", order=_ORD),
+    "group_reduce": Query("lineitem", "group_by(.l_shipdate | fromdate | strftime(\"%Y\")) | map({y: (.[0].l_shipdate | fromdate | strftime(\"%Y\")), q: (reduce .[] as $r (0; . + $r.l_quantity))})",
+        "SELECT strftime(l_shipdate, '%Y') AS y, sum(l_quantity) AS q FROM lineitem GROUP BY 1"),
+    "group_having": Query("orders", "group_by(.o_custkey) | map({c: .[0].o_custkey, n: length}) | map(select(.n > 15))", "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 15"),
+    "three_way_join": Query("nation", "JOIN($regions; .n_regionkey | tostring) | .[] | select(.match.r_name == \"ASIA\") | {n: .row.n_name, r: .match.r_name}",
+        "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", lookups=(("regions", "region", "INDEX(.r_regionkey)"),)),
     # ---- order
     "sort_by_multi": Query("supplier", "sort_by(.s_nationkey, .s_name) | map({s_nationkey, s_name})", "SELECT s_nationkey, s_name FROM supplier", order=("s_suppkey",)),
     "top_k": Query("orders", "sort_by(.o_totalprice) | .[-10:] | map({o_orderkey, o_totalprice})",
@@ -177,9 +195,57 @@ def evaluator_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("value").cast("double").alias("k"))
 
 
+def yq_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update of JSON text by the YAML expression language."""
+    out = yq_documents(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", ".k += 1 | .k", "json", "json", keep=["event_id"])
+    return out.select("event_id", F.col("value").cast("double").alias("k"))
+
+
+def yq_sub_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sub replaces every match."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.to_json(F.struct("url")).alias("doc"))
+    out = yq_documents(pages, "doc", '.url |= sub("[0-9]+", "#") | .url', "json", "yaml", keep=["page_id"])
+    return out.select("page_id", F.regexp_replace("value", "\n$", "").alias("url"))
+
+
+def yq_pick_omit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("doc"))
+    out = yq_documents(nations, "doc", 'pick(["n_regionkey", "n_name"]) | omit(["n_name"]) | to_entries | .[0].value', "json", "json", keep=["n_nationkey"])
+    return out.select("n_nationkey", F.col("value").cast("long").alias("v"))
+
+
+def yq_glob_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.to_json(F.struct("n_name")).alias("doc"))
+    out = yq_documents(nations, "doc", 'select(.n_name == "*A*") | .n_name', "json", "yaml")
+    return out.filter("value <> ''").select(F.trim(F.regexp_replace("value", "\n", "")).alias("name"))
+
+
+def dynamic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of any type grouped by value, by way of their sort keys."""
+    keyed = sort_keys(spark.read.parquet(f"{sf_dir}/events.parquet").select("props"), "props")
+    return keyed.groupBy("sort_key").agg(F.min("props").alias("props"), F.count("*").alias("n")).select("props", "n")
+
+
+def stream_events_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form of each document, counted by path."""
+    found = events(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", keep=["event_id"])
+    return found.groupBy("path").agg(F.count("leaf").alias("leaves"), F.count("*").alias("n"))
+
+
+_EVALUATED = {
+    "evaluator_events": (evaluator_events, "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events"),
+    "yq_numbers": (yq_numbers, "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) + 1 AS k FROM events"),
+    "yq_sub_global": (yq_sub_global, "SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS url FROM pages"),
+    "yq_pick_omit": (yq_pick_omit, "SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS v FROM nation"),
+    "yq_glob_equals": (yq_glob_equals, "SELECT n_name AS name FROM nation WHERE n_name LIKE '%A%'"),
+    "dynamic_groups": (dynamic_groups, "SELECT props, count(*) AS n FROM events GROUP BY 1"),
+    "stream_events_count": (stream_events_count, "SELECT '[\"k\"]' AS path, count(*) AS leaves, 2 * count(*) AS n FROM events"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{name: _run(name, q) for name, q in QUERIES.items()}, "evaluator_events": evaluator_events}
+    return {**{name: _run(name, q) for name, q in QUERIES.items()}, **{name: f for name, (f, _) in _EVALUATED.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{name: q.sql for name, q in QUERIES.items() if q.sql}, "evaluator_events": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events"}
+    return {**{name: q.sql for name, q in QUERIES.items() if q.sql}, **{name: sql for name, (_, sql) in _EVALUATED.items()}}
