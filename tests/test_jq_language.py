@@ -53,6 +53,13 @@ flatten, flatten(1), transpose, (add | length) ;; [[1,[2]],[3]] ;; [1,2,3] | [1,
 (.[0] | explode | implode), (join("-")), (map(ascii_upcase)), (map(ltrimstr("a"))) ;; ["ab","c"] ;; "ab" | "ab-c" | ["AB","C"] | ["b","c"]
 [.[] | tostring], [.[] | tojson], [.[] | type] ;; [1,"a",null,[1]] ;; ["1","a","null","[1]"] | ["1","\"a\"","null","[1]"] | ["number","string","null","array"]
 [.[] | floor, sqrt, pow(.; 2), log2] ;; [4] ;; [4,2,16,2]
+[frexp, modf, lgamma_r, significand, logb, trunc, round, rint, ldexp(.; 2), copysign(.; -1)] ;; 2.5 ;; [[0.625,2],[0.5,2],[0.2846828704729196,1],1.25,1,2,3,2,10,-2.5]
+(j0 * 1000 | round), (y1 * 1000 | round), (tgamma | round), fma(2; 3; 4), fmin(1; nan), drem(5; 3), nearbyint ;; 3 ;; -260 | 325 | 2 | 10 | 1 | -1 | 3
+[.[] as [$k, $v] | {($k): $v}] | add, (map(keys[0]) | @text) ;; [["a",1],["b",2]] ;; {"a":1,"b":2} | "[\"a\",\"b\"]"
+.. |= (if type == "number" then . + 1 else . end), del(.[] | select(type == "array")) ;; [1,[2],{"a":3}] ;; [2,[3],{"a":4}] | [1,{"a":3}]
+(first(.[]), last) |= . * 10, (limit(1; .[]) |= 0), ([.[] | select(. > 1)] | length) ;; [1,2] ;; [10,20] | [0,2] | 1
+.a[1:] |= map(. + 1), (.a[:1] = []), (.b[2] = 1) ;; {"a":[1,2]} ;; {"a":[1,3]} | {"a":[2]} | {"a":[1,2],"b":[null,null,1]}
+strptime("%d %b %Y %H:%M:%S") | mktime, (todate), strftime("%-d/%m %I%p %e") ;; "05 Mar 2015 23:51:47" ;; 1425599507 | "2015-03-05T23:51:47Z" | "5/03 11PM  5"
 sort, (sort | bsearch("a")), any, all, (map(not)) ;; [{},[],"a",1,null,false,true] ;; [null,false,true,1,"a",[],{}] | 4 | true | false | [false,false,false,false,true,true,false]
 "\(1 + 2) is \("x")", @json "v=\([1, "a"])" ;; null ;; "3 is x" | "v=[1,\"a\"]"
 indices(", "), index("a"), rindex("a"), ascii_downcase, length, utf8bytelength ;; "a, é, a" ;; [1,4] | 0 | 6 | "a, é, a" | 7 | 8
