@@ -131,7 +131,7 @@ def order_key(v: Value) -> list[Column]:
     c = v.col
     if isinstance(v.type, (T.FloatType, T.DoubleType)):
         return [c.isNotNull(), ~F.isnan(c), c]
-    return [c.asc_nulls_first()] if not isinstance(v.type, T.BooleanType) else [c.isNotNull(), c]
+    return [c]  # ascending order puts null first
 
 
 def comparison(op: str, a: Value, b: Value) -> Value:
@@ -751,7 +751,7 @@ class Scalars:
         return index(cur, literal(-1))
 
     def call_reverse_0(self, cur):
-        return Value(F.reverse(cur.col), cur.type)
+        return Value(F.coalesce(F.reverse(cur.col), F.array().cast(cur.type)) if kind(cur) == "array" else F.reverse(cur.col), cur.type)
 
     def call_sort_0(self, cur):
         return Value(F.array_sort(cur.col), cur.type) if not isinstance(cur.type.elementType, (T.FloatType, T.DoubleType)) else Value(F.sort_array(cur.col), cur.type)
@@ -784,8 +784,10 @@ class Scalars:
         return self.call_all_1(cur, ("identity",))
 
     def call_index_1(self, cur, a):
-        s, x = self._texts(cur, a)
-        at = F.locate(self.lower(a, cur).literal, s)
+        s, x = cur.col, self.lower(a, cur)
+        if kind(cur) != "string" or not isinstance(x.literal, str):
+            raise NotPlanned("index")
+        at = F.locate(x.literal, s)
         return Value(F.when(at > 0, at - 1).cast("long"), T.LongType())
 
     def call_IN_1(self, cur, a):
@@ -880,7 +882,7 @@ def _type_of(v: Value) -> T.DataType:
 
 @dataclass
 class State:
-    """``form``: "array" or "stream" of values, "groups" (an array of arrays by ``keys``), or "single" (one row)."""
+    """``form``: "array" or "stream" of values, "groups" or "each" (an array or stream of arrays by ``keys``), "lookup", or "single"."""
 
     df: DataFrame
     value: Value
@@ -919,7 +921,7 @@ class Planner:
         return self.finish(self.steps(body, state))
 
     def finish(self, s: State) -> DataFrame:
-        if s.form == "groups":
+        if s.form in ("groups", "each"):
             s = self.collected(s)
         cols = [v.column().alias(k) for k, v in s.value.fields.items()] if s.value.fields is not None else [s.value.column().alias("value")]
         if not cols:
@@ -1031,10 +1033,14 @@ class Planner:
             return replace_state(self.inner(node[1], s), form="stream")
         if k == "collect":
             return replace_state(self.steps(node[1], s), form="array") if not self.single_collect(node) else self.aggregate(node, s)
+        if k in ("index", "slice") and _generates(node[1]) and (inner := self.steps(node[1], s)).form == "stream":
+            return self.over_stream((k, ("identity",), *node[2:]), inner)
         if k == "index" and (node[1][0] == "call" or node[1] == ("identity",)):
             got = self.inner(node[1], s)
             if got.form == "single":
                 return replace_state(got, value=index(got.value, self.scalars.lower(node[2], got.value)))
+            if got.form == "stream":
+                return self.over_stream(("index", ("identity",), node[2]), got)
             return self.element(got, node[2])
         if k == "slice":
             return self.sliced(self.inner(node[1], s), node[2], node[3])
@@ -1141,14 +1147,19 @@ class Planner:
     def array_flatten_0(self, s):
         out = s
         while isinstance(out.value.type, T.ArrayType):
-            out = self.exploded(out, out.value)
+            out = self.flattened(out)
         return out
 
+    def flattened(self, s: State) -> State:
+        """One level: elements that are null instead of arrays stay."""
+        v = s.value
+        return self.exploded(s, Value(F.coalesce(v.col, F.array(F.lit(None).cast(v.type.elementType))), v.type))
+
     def array_flatten_1(self, s, n):
         out = s
         for _ in range(self.scalars.lower(n, literal(None)).literal):
             if isinstance(out.value.type, T.ArrayType):
-                out = self.exploded(out, out.value)
+                out = self.flattened(out)
         return out
 
     def array_group_by_1(self, s, f):
@@ -1201,10 +1212,8 @@ class Planner:
     def array_INDEX_1(self, s, f):
         """The object of rows by key, as rows of key and value: the last row of a key wins."""
         key = text(self.scalars.lower(f, s.value))
-        g = self.array_group_by_1(s, f)
         df = s.df.groupBy(key.col.alias("key")).agg(F.max_by(s.value.column(), F.struct(*[F.col(c) if isinstance(c, str) else _bare(c) for c in s.order])).alias("value"))
-        del g
-        return State(df, Value(None, None, {"key": Value(F.col("key"), T.StringType()), "value": typed(F.col("value"), _type_of(s.value))}), ["key"], "stream")
+        return State(df, Value(None, None, {"key": Value(F.col("key"), T.StringType()), "value": typed(F.col("value"), _type_of(s.value))}), ["key"], "lookup")
 
     def array_JOIN_2(self, s, index_, f):
         """[row, $table's last row of the key] as {row, match}: a left join on the key's text."""
@@ -1277,12 +1286,26 @@ class Planner:
     def over_groups(self, node, s: State) -> State:
         if node[0] == "call" and node[1] == "map":
             return replace_state(self.per_group(node[2][0], s), form="array")
-        if node[0] == "iterate":
-            return s
+        if node == ("iterate", ("identity",)):
+            return replace_state(s, form="each")
         if node[0] == "call" and node[1] == "length":
             return self.aggregate(("call", "length", []), self.distinct_keys(s))
         return replace_state(self.per_group(node, s), form="stream")
 
+    def over_each(self, node, s: State) -> State:
+        """A stream of groups."""
+        return replace_state(self.per_group(node, s), form="stream")
+
+    def over_lookup(self, node, s: State) -> State:
+        """An object of rows by key: its length, its values, or its entries."""
+        if node[0] == "call" and node[1] == "length":
+            return self.aggregate(node, s)
+        if node == ("iterate", ("identity",)):
+            return replace_state(s, form="stream", value=s.value.fields["value"])
+        if node[0] == "call" and node[1] == "to_entries":
+            return replace_state(s, form="array")
+        raise NotPlanned("an object of rows")
+
     def distinct_keys(self, s: State) -> State:
         out = self.grouped(s, {})
         return replace_state(out, form="array")

@@ -102,3 +102,37 @@ def test_streaming_filter(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.sql("SELECT value FROM filtered").collect()) == ['"x"', '"y"']
+
+
+PLANNED = """length;map(.n)|add;map(.v)|max;map(.n)|min;map(.n)|sort;map(.n)|unique;.[-1].id;first.id;last.id;map(.id)|.[2:];any(.n==7);map(.a)|flatten;map(.a[0]);[.[].a[0]]
+map({id,l:(.a|length)});group_by(.g)|map(map(.id));group_by(.g)|map({g:.[0].g,ids:map(.id)});group_by(.n)|map({n:.[0].n,c:length});group_by(.g)|map(max_by(.v).id);group_by(.g)|.[]|length
+unique_by(.n)|map(.id);sort_by(.g,.v)|map(.id);sort_by(-.id)|map(.id);sort_by(.v)|reverse|map(.id);[limit(2;.[])]|map(.id);map(.s//"none")|unique;reduce .[] as $r (0;.+$r.id)
+[foreach .[] as $r (0;.+$r.id)];map(if .n>5 then "hi" else "lo" end);map(.id%2);map([.id,.n]|add);map(.g|test("x|y"));map(.a|first);map(.a|reverse);map(.n|=.+1)|map(.n);map(.z);map(.id as $x|.n|.+$x)
+[.[]|.id,.n];INDEX(.id)|length;{n:length,s:(map(.id)|add)};[.[]|{g,id}]|group_by(.g)|map({g:.[0].g,m:(map(.id)|max)});map(.v|.>2 and .<50);map(select(.n))|map(.id);sort_by(.n)|.[0].id""".replace("\n", ";").split(";")
+
+
+def joined(parts: list[str]) -> list[str]:
+    """Programs again, where a semicolon stood inside one."""
+    out: list[str] = []
+    for p in parts:
+        if out and out[-1].count("(") != out[-1].count(")"):
+            out[-1] += ";" + p
+        else:
+            out.append(p)
+    return out
+
+
+def test_plans_agree_with_the_evaluator(spark):
+    rows = [(1, 5, 2.5, "ab", "x", [1, 2]), (2, None, -1.0, "b c", "y", [3]), (3, 7, None, None, "x", []), (4, 5, 2.5, "é", "y", [5, 1, 5]), (5, 0, 100.0, "ab", "z", None)]
+    df = spark.createDataFrame(rows, "id int, n int, v double, s string, g string, a array<int>")
+    data = [r.asDict() for r in df.collect()]
+
+    def plain(x):
+        return [plain(y) for y in x] if isinstance(x, list) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else compare.cell(x)
+
+    for program in joined(PLANNED):
+        got = [r.asDict(True) for r in api.jq(df, program, order=["id"]).collect()]
+        got = [plain(r["value"] if list(r) == ["value"] else r) for r in got]
+        want = evaluate(program, data)
+        want = want[0] if len(want) == 1 and isinstance(want[0], list) else want
+        assert sorted(map(str, got)) == sorted(str(plain(w)) for w in want), program
