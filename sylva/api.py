@@ -27,10 +27,11 @@ def jq(df: DataFrame, program: str, mode: str = "slurp", variables: dict | None
     return jq_documents(text, "__doc", program, variables).select("value")
 
 
-def jq_documents(df: DataFrame, column: str, program: str, variables: dict | None = None, keep: list[str] | None = None, raw: bool = False) -> DataFrame:
+def jq_documents(df: DataFrame, column: str, program: str, variables: dict | None = None, keep: list[str] | None = None, raw: bool = False, spread: int = 0) -> DataFrame:
     """Evaluate a filter on each JSON text of a column: a row an output, in order ``position``; errors go to ``error``.
 
-    ``raw``: the column holds plain strings, each an input string.
+    ``raw``: the column holds plain strings, each an input string. ``spread``: deal the rows to so many tasks first, where
+    they lie in few large partitions and evaluation outweighs a shuffle.
     """
     keep = keep or []
 
@@ -68,7 +69,11 @@ def jq_documents(df: DataFrame, column: str, program: str, variables: dict | Non
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "position", "value", "error"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) if keep else ""
-    return df.select(*keep, F.col(column).cast("string").alias("__doc")).mapInArrow(run, types + "position int, value string, error string")
+    return _spread(df.select(*keep, F.col(column).cast("string").alias("__doc")), spread).mapInArrow(run, types + "position int, value string, error string")
+
+
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    return df.repartition(n) if n else df
 
 
 def sort_keys(df: DataFrame, column: str, name: str = "sort_key") -> DataFrame:
@@ -84,7 +89,7 @@ def sort_keys(df: DataFrame, column: str, name: str = "sort_key") -> DataFrame:
     return df.withColumn(name, F.pandas_udf(key, "binary")(F.col(column)))
 
 
-def yq_documents(df: DataFrame, column: str, expression: str, input_format: str = "yaml", output_format: str = "yaml", keep: list[str] | None = None) -> DataFrame:
+def yq_documents(df: DataFrame, column: str, expression: str, input_format: str = "yaml", output_format: str = "yaml", keep: list[str] | None = None, spread: int = 0) -> DataFrame:
     """Evaluate a YAML expression on each text of a column: printed matches in ``value``; errors go to ``error``."""
     keep = keep or []
 
@@ -105,7 +110,7 @@ def yq_documents(df: DataFrame, column: str, expression: str, input_format: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*keep, "value", "error"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) if keep else ""
-    return df.select(*keep, F.col(column).cast("string").alias("__doc")).mapInArrow(run, types + "value string, error string")
+    return _spread(df.select(*keep, F.col(column).cast("string").alias("__doc")), spread).mapInArrow(run, types + "value string, error string")
 
 
 def converted(df: DataFrame, column: str, input_format: str, output_format: str, keep: list[str] | None = None) -> DataFrame:

@@ -191,13 +191,13 @@ def _run(name: str, q: Query) -> Callable[[SparkSession, str], DataFrame]:
 def evaluator_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-document evaluator over JSON text: dynamic keys, try, recursion and label have no typed plan."""
     program = 'def depth: if type == "object" then 1 + ([.[] | depth] | max // 0) else 0 end; {n: (to_entries | length), d: depth, k: (try (.k | tonumber) catch -1)} | tojson | fromjson | .k'
-    out = jq_documents(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", program, keep=["event_id"])
+    out = jq_documents(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", program, keep=["event_id"], spread=spark.sparkContext.defaultParallelism)
     return out.select("event_id", F.col("value").cast("double").alias("k"))
 
 
 def yq_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update of JSON text by the YAML expression language."""
-    out = yq_documents(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", ".k += 1 | .k", "json", "json", keep=["event_id"])
+    out = yq_documents(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", ".k += 1 | .k", "json", "json", keep=["event_id"], spread=spark.sparkContext.defaultParallelism)
     return out.select("event_id", F.col("value").cast("double").alias("k"))
 
 
