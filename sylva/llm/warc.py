@@ -2,7 +2,7 @@
 
 A page becomes one logical record: a ``response`` with an HTTP head and chunked transfer framing, cut into a first segment
 and continuation records where it is long, or a ``revisit`` of the equal payload with the smallest page_id. Spark's text
-writer puts the records out with the blank lines between records as its line separator, so the files are plain WARC/1.1.
+writer puts the records out with the blank lines between records as its line separator, so the files are WARC/1.1, gzipped.
 Archives are read whole, each bounded in size; records are cut by Content-Length; continuations are grouped by origin
 identifier, ordered by segment number and held against the total length before the transfer framing is decoded.
 
@@ -14,6 +14,7 @@ makes an archive without records; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -133,9 +134,11 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, smallest: int = SM
     common.small_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("n"))
-    first = rows.filter(F.col("n") >= smallest).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    facts = rows.agg(F.sum("n").alias("bytes"), F.count("*").alias("rows")).first()
-    archives = max(1, -(-(facts.bytes or 0) // ARCHIVE_BYTES), -(-facts.rows // ARCHIVE_RECORDS))
+    digests = common.stage(spark, rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"), F.max("n").alias("n")), "digests")
+    first = digests.filter((F.col("rows") > 1) & (F.col("n") >= smallest)).select("sha1", "first")
+    few = first.count() <= 200_000  # 10 MB of repeated digests are broadcast at most; beyond, pages are shuffled
+    facts = digests.agg(F.sum(F.col("n") * F.col("rows")).alias("bytes"), F.sum("rows").alias("rows")).first()
+    records_a_file = max(1, min(ARCHIVE_RECORDS, int(ARCHIVE_BYTES * (facts.rows or 0) // max(1, facts.bytes or 0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, texts, firsts in common.column_lists(batches):
@@ -154,10 +157,9 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, smallest: int = SM
                 out += [x.decode() for x in segments(_urn(page, sha1), named, block, segment)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    # a page's records are written by one task, so its segments lie in one file or in the next of the same task
-    joined = rows.join(first, "sha1", "left").select("page_id", "url", "html", "first")
-    dealt = joined.repartition(int(archives), F.xxhash64("page_id", "url", "html")) if archives > 1 else joined.coalesce(1)
-    dealt.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(folder)
+    # pages are written where they are read; an archive ends after as many records as make up its size on average
+    joined = rows.join(F.broadcast(first) if few else first, "sha1", "left").select("page_id", "url", "html", "first")
+    joined.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(folder)
 
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +169,7 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
         for (files,) in common.column_lists(batches):
             for data in files:
                 rows, held = [], 0
-                for f, block in records(data):
+                for f, block in records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     name = f["warc-record-id"].strip("<>")
                     origin = f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>")
                     rows.append((name, f["warc-type"], origin, int(f.get("warc-segment-number", 1)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, "warc-segment-number" in f, f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:"), block))
