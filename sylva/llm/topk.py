@@ -28,6 +28,8 @@ from sylva.llm import common
 K, SCALE, EVERY = 20, 64.0, 20
 #: Vectors to a query and to a candidate block at most; bins of a pass.
 QUERY_BLOCK, BLOCK, BINS = 512, 4096, 128
+#: Query blocks whose counts a task adds up before it gives them on (half a megabyte each at most).
+HELD = 64
 
 
 def quantised(df: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -102,13 +104,24 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = K, s
         return left.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).join(c, ["lane", "dim"])
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for b, (lo, hi, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(lo), pa.array(hi), pa.array(n)], names=["block", "at", "lo", "hi", "n"])
+            held.clear()
+
         for block, dim, ids, vals, cids, cvals in common.column_lists(batches):
             for b, d, i, v, ci, cv in zip(block, dim, ids, vals, cids, cvals, strict=True):
                 qi, qv = _unpacked(i, v, d)
                 cj, cw = _unpacked(ci, cv, d)
                 s = scores(qv, cw)
-                n = (qi[:, None] != cj[None, :]).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qi), b)), pa.array(np.arange(len(qi), dtype=np.int32)), pa.array(s.min(1)), pa.array(s.max(1)), pa.array(n)], names=["block", "at", "lo", "hi", "n"])
+                found = [s.min(1), s.max(1), (qi[:, None] != cj[None, :]).sum(1)]
+                old = held.get(b)
+                held[b] = found if old is None else [np.minimum(old[0], found[0]), np.maximum(old[1], found[1]), old[2] + found[2]]
+                if len(held) > HELD:
+                    yield from given()
+        yield from given()
 
     cols = ["block", "dim", "ids", "vals", "cids", "cvals"]
     ends = paired(None).select(*cols).mapInArrow(extremes, "block long, at int, lo long, hi long, n long")
@@ -117,8 +130,17 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = K, s
     state = common.stage(spark, per_query.select("block", "at", "lo", "hi", F.least(F.lit(k).cast("long"), "n").alias("need")).filter("need > 0"), "range")
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for b, (at, counts) in held.items():
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b)), pa.array(at[some // BINS].astype(np.int32)), pa.array((some % BINS).astype(np.int32)), pa.array(counts[some])], names=["block", "at", "bin", "n"])
+            held.clear()
+
         for block, dim, ids, vals, cids, cvals, ranges in common.column_lists(batches):
             for b, d, i, v, ci, cv, r in zip(block, dim, ids, vals, cids, cvals, ranges, strict=True):
+                r.sort(key=lambda x: x["at"])
                 at, lo, hi = (np.array([x[n] for x in r], np.int64) for n in ("at", "lo", "hi"))
                 qi, qv = _unpacked(i, v, d)
                 cj, cw = _unpacked(ci, cv, d)
@@ -128,8 +150,10 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = K, s
                 on = (s >= lo[:, None]) & (s <= hi[:, None]) & (qi[at][:, None] != cj[None, :])
                 flat = (np.arange(len(at))[:, None] * BINS + bin_)[on]
                 counts = np.bincount(flat, minlength=len(at) * BINS)
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b)), pa.array(at[some // BINS].astype(np.int32)), pa.array((some % BINS).astype(np.int32)), pa.array(counts[some])], names=["block", "at", "bin", "n"])
+                held[b] = [at, counts + held[b][1] if b in held else counts]
+                if len(held) > HELD:
+                    yield from given()
+        yield from given()
 
     while state.filter("hi > lo").limit(1).count():
         ranges = state.filter("hi > lo").groupBy("block").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("ranges"))
