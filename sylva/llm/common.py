@@ -144,23 +144,24 @@ def in_block_pairs(df: DataFrame, group: str, blocks) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, root), root the smallest node.
 
-    Nodes without edges aren't listed. Each step is two joins on aggregated minima, so a node with very many edges is
-    pre-aggregated and its join can be split; edges are staged after each round.
+    Nodes without edges aren't listed. Each round is two joins on aggregated minima, so a node with very many edges is
+    pre-aggregated and its join can be split; edges are staged after each round. Rounds end when the edges are stars, which
+    one aggregate tells: no node has two parents, or both a parent and children.
     """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    before, e = None, stage(spark, e, "edges")
-    while True:
+    e = stage(spark, edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         after = stage(spark, small, "edges")
         remove(spark, e)
         e = after
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-        before = state
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").limit(1).count() == 0

@@ -126,6 +126,7 @@ def leaf_pairs(spark: SparkSession, classes: DataFrame, runs: int) -> DataFrame:
         for (groups,) in common.column_lists(batches):
             edges: set[tuple[bytes, bytes]] = set()
             for group in groups:
+                group.sort(key=lambda g: g["key"])  # the root is the smallest key: most components are stars at once
                 keys = [g["key"] for g in group]
                 s = np.array([np.frombuffer(g["sig"], np.uint32) for g in group])
                 forest = common.Forest(len(keys))
@@ -155,6 +156,7 @@ def verified(spark: SparkSession, sets: DataFrame, threshold: float) -> DataFram
         for lows, highs, groups in common.column_lists(batches):
             out: list[tuple[bytes, int, bytes]] = []
             for lo, hi, group in zip(lows, highs, groups, strict=True):
+                group.sort(key=lambda g: g["key"])
                 linked = links_within([np.frombuffer(g["hashes"], np.uint64) for g in group], threshold)
                 if lo != hi:  # pairs within one block belong to the pair of that block with itself
                     own = np.array([g["__own"] for g in group])
