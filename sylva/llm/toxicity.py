@@ -32,13 +32,18 @@ LEXICON = (
     "psycho puke rat repulsive retard revolting rubbish scoundrel scum scumbag shit shitty shut sickening simpleton slime slob "
     "sewage snake stupid sucker thug trash traitor trashy twit ugly useless vermin vile weakling weasel wimp worm worthless wretch"
 ).split()
+INSULTS = "idiot moron loser fool scum trash clown pig stupid dumb ugly pathetic worthless disgusting".split()
+HATING = "hate despise loathe".split()
+ORDERS = ["go to hell", "drop dead", "get lost", "kill yourself"]
 PATTERNS = {
-    "second person": re.compile(r"\b(?:you|u)(?: are|'re|r)? (?:an? |all |such |nothing but )*(?:idiot|moron|loser|fool|scum|trash|clown|pig|stupid|dumb|ugly|pathetic|worthless|disgusting)"),
-    "hate": re.compile(r"\b(?:i|we) (?:hate|despise|loathe) (?:you|them|those)"),
+    "second person": re.compile(rf"\b(?:you|u)(?: are|'re|r)? (?:an? |all |such |nothing but )*(?:{'|'.join(INSULTS)})"),
+    "hate": re.compile(rf"\b(?:i|we) (?:{'|'.join(HATING)}) (?:you|them|those)"),
     "shut up": re.compile(r"\bshut (?:the \w+ )?up\b"),
-    "go away": re.compile(r"\b(?:go to hell|drop dead|get lost|kill yourself)\b"),
+    "go away": re.compile(rf"\b(?:{'|'.join(ORDERS)})\b"),
     "masked": re.compile(r"\b[a-z]{1,3}[*@#$]{2,}[a-z]*\b"),
 }
+#: What stands in every match of a pattern, one of them at least: a text without any can't match and isn't searched.
+NEEDED = {"second person": INSULTS, "hate": HATING, "shut up": ["shut "], "go away": ORDERS, "masked": ["*", "@", "#", "$"]}
 _PLACE = {w: k for k, w in enumerate(LEXICON)}
 N_VOTERS = len(LEXICON) + len(PATTERNS) + 2
 #: Bounds of the classifier's sample, its hashed word features, and the label model's starting rates.
@@ -46,24 +51,22 @@ SAMPLE, HASHED, PRIOR, FIRES, MISFIRES = 4_000, 1 << 11, 0.08, 0.3, 0.002
 THRESHOLD = 0.7
 
 
-def votes(text: str, words: list[str]) -> np.ndarray:
-    """Which voters fire: lexicon words, patterns, and two or four different lexicon words."""
+def votes(low: str, words: list[str]) -> np.ndarray:
+    """Which voters fire on a lower-case text: lexicon words, patterns, and two or four different lexicon words."""
     out = np.zeros(N_VOTERS, bool)
     found = [_PLACE[w] for w in set(words) & _PLACE.keys()]
     out[found] = True
     out[-2], out[-1] = len(found) >= 2, len(found) >= 4
-    if found or "*" in text or "@" in text or "hate" in text or "hell" in text or "dead" in text:
-        low = text.lower()
-        for k, pattern in enumerate(PATTERNS.values(), len(LEXICON)):
-            out[k] = pattern.search(low) is not None
+    for k, (name, pattern) in enumerate(PATTERNS.items(), len(LEXICON)):
+        out[k] = any(x in low for x in NEEDED[name]) and pattern.search(low) is not None
     return out
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(voters that fire, distinct hashed words)."""
-    words = common.WORD.findall((text or "").lower())
-    v = votes(text or "", words)
-    return v, words
+def features(text: str | None) -> tuple[np.ndarray, list[str]]:
+    """(voters that fire, words)."""
+    low = (text or "").lower()
+    words = common.WORD.findall(low)
+    return votes(low, words), words
 
 
 @dataclass

@@ -105,6 +105,13 @@ def test_toxic_documents_score_high(spark, sf):
             assert r.predicted == 0
 
 
+@pytest.mark.parametrize(("text", "voter"), [("you are all morons", "second person"), ("you clowns", "second person"), ("we despise you", "hate"), ("i loathe them", "hate"), ("I HATE YOU", "hate"), ("get lost", "go away"), ("Go to Hell", "go away"), ("DROP DEAD", "go away"), ("Shut the Door Up", "shut up"), ("f##k that", "masked"), ("a s$$t day", "masked"), ("F@@K", "masked")])
+def test_every_pattern_sees_every_text(text, voter):
+    fired = toxicity.features(f"Well, {text}!")[0][len(toxicity.LEXICON) : -2]
+    assert fired.tolist() == [p.search(f"well, {text}!".lower()) is not None for p in toxicity.PATTERNS.values()]
+    assert fired[list(toxicity.PATTERNS).index(voter)]
+
+
 def test_label_model_recovers_rates():
     rng = np.random.default_rng(4)
     n, v = 40_000, toxicity.N_VOTERS
