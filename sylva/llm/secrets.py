@@ -2,8 +2,8 @@
 
 Base patterns find assignments, access keys and long hexadecimal strings. The token-efficiency test looks at every run of
 key-like characters: a byte-pair vocabulary spends few tokens on words and many on random strings, so a low number of
-characters per token exposes them. Runs that are known digests (hexadecimal of a digest's length) or identifiers (UUIDs,
-numbers, addresses, host and file names) are excluded first, as are runs without both letters and digits.
+characters per token exposes them. Runs that are known digests (hexadecimal of a digest's length), UUIDs or without a
+letter (numbers, dates, rules of signs) are excluded first; all others are judged, with digits or without.
 
 Defined cases: a null or empty text has no spans; positions are code points of the whole text, ends exclusive; rows that
 repeat a doc_id are scanned each on its own; other columns are ignored.
@@ -34,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 #: Characters of the digests that count as known: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_-]+|[A-Za-z_/=+-]+|[a-z]+([_/-][a-z]+)*[_/-]?[0-9]{1,4}")
+#: UUIDs, and numbers or signs without a letter. Names are left to the ratio: words take few tokens.
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
 
 
 @functools.cache
@@ -68,8 +69,6 @@ def random_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int
         run = m[0]
         if IDENTIFIER.fullmatch(run) or (len(run) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)):
             continue
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            continue
         tokens = sum(len(encode(run[k : k + LONGEST_JUDGED])) for k in range(0, len(run), LONGEST_JUDGED))
         if len(run) / tokens < ratio:
             out.append((m.start(), m.end(), "random"))

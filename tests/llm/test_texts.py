@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -84,6 +85,16 @@ def test_token_efficiency_separates_random_from_words():
     assert not any(secrets.random_spans(f"see {s} here", encode) for s in plain)
 
 
+@pytest.mark.parametrize(("letters", "tail"), [(string.ascii_letters, 0), (string.ascii_uppercase, 0), (string.ascii_lowercase, 0), (string.ascii_lowercase, 4), (string.ascii_letters + "+/", 0)])
+def test_random_runs_without_inner_digits_are_judged(letters, tail):
+    encode = secrets._vocabulary(secrets.vocabulary_path()).encode_ordinary
+    rng = random.Random(3)
+    runs = ["".join(rng.choices(letters, k=32 - tail)) + "".join(rng.choices(string.digits, k=tail)) for _ in range(200)]
+    assert sum(("random", 4, 36) in [(k, a, b) for a, b, k in secrets.random_spans(f"see {s} here", encode)] for s in runs) >= 180
+    plain = ["-" * 40, "=" * 30, "_/" * 12, "2024/01/02/03-04-05", "internationalization42", "some/longer/path_to/file7", "CamelCaseClassNameFactory", "README_AND_LICENSE_FILES"]
+    assert not any(secrets.random_spans(f"see {s} here", encode) for s in plain)
+
+
 def test_secrets_odd_rows(spark, odd, empty):
     assert secrets.scan(odd).count() == 16 and all(not r.spans for r in secrets.scan(odd).collect() if r.doc_id != 4)
     assert secrets.scan(empty).count() == 0
