@@ -206,14 +206,15 @@ def joined(spark: SparkSession, docs: DataFrame, width: int = WIDTH, threshold:
     """
     common.small_batches(spark)
     rows = common.stage(spark, sets_of(docs, width, "sig"), "sets")
-    classes = common.stage(spark, rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
+    classes = common.stage(spark, rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")).select("key", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("rep_th"), "copies", "sig", "n"), "classes")
     pairs = common.stage(spark, leaf_pairs(spark, classes, runs_needed(recall)), "pairs")
     candidates = common.stage(spark, common.components(spark, pairs, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("comp")), "candidates")
 
-    # the sets of candidates alone are made again from their texts
-    ids = classes.join(candidates, "key").select(F.col("rep").alias("__rep"))
-    few = ids.count() <= 1_000_000  # 8 MB of ids at most are broadcast; beyond, texts are shuffled
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__rep"), "left_semi")
+    # the sets of candidates alone are made again from their texts; ids may be null, so the texts' hashes go with them
+    ids = classes.join(candidates, "key").select(F.col("rep").alias("__rep"), F.col("rep_th").alias("__th"))
+    few = ids.count() <= 1_000_000  # 16 MB are broadcast at most; beyond, texts are shuffled
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__rep")) & (F.xxhash64("text") == F.col("__th"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, same, "left_semi")
     hashes = sets_of(texts, width, "hashes").filter("key IS NOT NULL").dropDuplicates(["key"]).select("key", "hashes", "n")
     checked = common.stage(spark, verified(spark, candidates.join(hashes, "key"), threshold), "verified")
 

@@ -85,6 +85,19 @@ def test_join_odd_rows(spark, odd, empty):
     assert jaccard_join.one_of_each(spark, empty).count() == 0
 
 
+def test_near_copies_without_an_id_keep_their_links(spark):
+    words = [f"w{k}" for k in range(100)]
+    chain = [" ".join([f"x{k}" for k in range(n)] + words[n:]) for n in (0, 6, 12)]  # the ends are linked through the middle alone
+    other = [" ".join([*(f"v{k}" for k in range(80)), end]) for end in ("a", "b", "c")]
+    rows = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (None, other[0]), (None, other[1]), (3, other[2]), (None, "alone with some words here"), (None, chain[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_brute(rows)
+    assert want[1][3] == 2 and want[2][1] == 1 and want[3] == (None, 3, None, 2)
+    same([tuple(r) for r in jaccard_join.joined(spark, df).select("doc_id", "class_id", "rep_id", "n_links").collect()], want)
+    kept = jaccard_join.one_of_each(spark, df).collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {1, 3, None}
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - jaccard_join.survival(jaccard_join.DEPTH)) ** jaccard_join.runs_needed() >= jaccard_join.RECALL
 
