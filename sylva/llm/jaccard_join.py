@@ -4,7 +4,7 @@ Texts become sets of hashed word shingles; equal sets are one class. Each class
 A run is a random tree: a node draws one or two of the T coordinates, 1 / THRESHOLD of them on average, and each class goes
 down to the child named by its token there, so similar sets keep meeting while others part. Nodes of few classes are leaves;
 larger ones are split again, level by level. Leaves are compared by brute force on the embeddings, and runs are repeated
-until a pair at the threshold is missed with probability less than 1 - RECALL. What a leaf puts out is a spanning forest of
+until a pair at the threshold is missed with probability less than 1 - RECALL, given that all runs draw from the same T. What a leaf puts out is a spanning forest of
 its candidate pairs, never the pairs themselves.
 
 Every candidate component is then verified exactly: all its sets, dealt in pairs of blocks, are intersected by matrix
@@ -35,6 +35,8 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.995
 T, STEP, DEPTH, LEAF, BLOCK_SETS, BLOCK_SHINGLES = 64, 3, 9, 800, 500, 400_000
 #: Agreeing coordinates that make a candidate: about four deviations below the threshold.
 CANDIDATE = int(T * (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / T)))
+#: Recall kept in hand for coordinates drawn twice in one tree, which ``reached`` leaves out (0.0003 by simulation).
+SPARE = 0.001
 
 _A = common.mix(np.arange(1, T + 1, dtype=np.uint64) * common._GOLD) | np.uint64(1)
 
@@ -57,8 +59,17 @@ def survival(levels: int, similarity: float = THRESHOLD) -> float:
     return 1 - gone
 
 
+def reached(runs: int, levels: int = DEPTH, similarity: float = THRESHOLD) -> float:
+    """Chance that a pair becomes a candidate: runs share one signature, so they only differ given how many coordinates agree."""
+    chance = [math.comb(T, k) * similarity**k * (1 - similarity) ** (T - k) for k in range(T + 1)]
+    return sum(chance[k] * (1 - (1 - survival(levels, k / T)) ** runs) for k in range(CANDIDATE, T + 1))
+
+
 def runs_needed(recall: float = RECALL, levels: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
+    for runs in range(1, 1000):
+        if reached(runs, levels) >= recall + SPARE:
+            return runs
+    raise ValueError(f"no number of runs over {T} coordinates reaches a recall of {recall} + {SPARE}")
 
 
 def descend(owner: np.ndarray, node: np.ndarray, signature: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:

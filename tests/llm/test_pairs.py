@@ -102,6 +102,23 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - jaccard_join.survival(jaccard_join.DEPTH)) ** jaccard_join.runs_needed() >= jaccard_join.RECALL
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.82, 0.85])
+def test_measured_recall_over_one_signature(similarity):
+    rng, t, n, met = np.random.default_rng(8), jaccard_join.T, 1000, []
+    seeds = common.mix(np.arange(1, jaccard_join.runs_needed() + 1, dtype=np.uint64))
+    for part in range(20):
+        a = rng.integers(0, 1 << 32, (n, t), dtype=np.uint32)
+        b = np.where(rng.random((n, t)) < similarity, a, rng.integers(0, 1 << 32, (n, t), dtype=np.uint32))
+        own = common.mix(np.arange(part * n, part * n + n, dtype=np.uint64) + np.uint64(1 << 40))  # each pair has trees of its own
+        nodes, owner = (seeds[:, None] ^ own[None, :]).ravel(), np.tile(np.arange(n), len(seeds))
+        at, x = jaccard_join.descend(owner, nodes, a, jaccard_join.DEPTH)
+        _, y = jaccard_join.descend(owner, nodes, b, jaccard_join.DEPTH)
+        hit = np.zeros(n, bool)
+        hit[at[np.isin(x, y)]] = True
+        met += (hit & ((a == b).sum(1) >= jaccard_join.CANDIDATE)).tolist()
+    assert np.mean(met) >= jaccard_join.RECALL
+
+
 # ---- decontamination
 
 
