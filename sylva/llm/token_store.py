@@ -3,8 +3,8 @@
 Texts are encoded whole, an end id is appended, and a rolling hash over the ids cuts each stream into chunks whose borders
 depend on content alone. ``chunks`` holds each distinct chunk once under the hash of its ids; ``recipes`` holds, in
 ascending doc_id order, the chunk list, first id position and Merkle root of each document; ``manifest`` holds the roots of
-each recipe file part and of the whole. Reading verifies every chunk against its name, every document against its root and
-the manifest against the recipes.
+each recipe file part and, as part WHOLE, of the store. Reading verifies every chunk against its name, every document's
+chunk list against its root and the manifest against the recipes.
 
 Defined cases: a null or empty text is the end id alone; rows that share a doc_id are kept as rows of their own, ordered by
 Merkle root; null ids come first; an empty table makes an empty store; other columns are ignored.
@@ -34,6 +34,8 @@ END_ID = 1
 WINDOW, MASK_BITS, SHORTEST, LONGEST = 8, 11, 1024, 16384
 #: Documents to a recipe part at most, on average.
 PART_ROWS = 200_000
+#: The manifest's row of the whole store.
+WHOLE = -1
 
 _CODED = "doc_id long, n_tokens long, root binary, chunk_ids array<binary>, chunk_sizes array<int>, payloads array<binary>"
 
@@ -147,6 +149,12 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
+def check_root(doc: int | None, names: list[bytes], root: bytes) -> None:
+    """Raise unless the chunk list gives the document's root."""
+    if merkle_root(names) != root:
+        raise ValueError(f"document {doc}: its chunks differ from its root")
+
+
 def pack(ids: bytes, packer: zstandard.ZstdCompressor) -> bytes:
     """Stored form: the width of an id in bytes (2 where all fit, else 4), then the ids, compressed."""
     wide = np.frombuffer(ids, "<u4")
@@ -195,6 +203,9 @@ def write(spark: SparkSession, df: DataFrame, folder: str, path: str | None = No
     common.remove(spark, spark.read.parquet(f"{folder}/unplaced"))
     roots = part_roots(spark.read.parquet(f"{folder}/recipes")).orderBy("part")
     roots.write.parquet(f"{folder}/manifest")
+    found = _parts(spark, folder).collect()  # their number is bounded above
+    whole = [(WHOLE, sum(r.n_docs for r in found), sum(r.n_tokens for r in found), _root_of(found))]
+    spark.createDataFrame(whole, roots.schema).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
 
 
 def _placed(recipes: DataFrame) -> DataFrame:
@@ -209,32 +220,45 @@ def _placed(recipes: DataFrame) -> DataFrame:
 
 
 def part_roots(recipes: DataFrame) -> DataFrame:
-    """Per part: documents, ids and the hash chain of the documents' roots in order."""
+    """Per part: documents, ids and the hash chain of the documents' roots in order; raises where chunks and root differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list] = {}
-        for parts, roots, sizes in common.column_lists(batches):
-            for part, root, size in zip(parts, roots, sizes, strict=True):
+        for docs, parts, roots, names, sizes in common.column_lists(batches):
+            for doc, part, root, chunks, size in zip(docs, parts, roots, names, sizes, strict=True):
+                check_root(doc, chunks, root)
                 state = seen.setdefault(part, [hashlib.blake2b(digest_size=16), 0, 0])
                 state[0].update(root)
                 state[1] += 1
                 state[2] += size
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([s[1] for s in seen.values()], pa.int64()), pa.array([s[2] for s in seen.values()], pa.int64()), pa.array([s[0].digest() for s in seen.values()], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    return recipes.select("part", "root", "n_tokens", "start").repartition("part").sortWithinPartitions("part", "start").select("part", "root", "n_tokens").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+    return recipes.select("doc_id", "part", "root", "chunk_ids", "n_tokens", "start").repartition("part").sortWithinPartitions("part", "start").select("doc_id", "part", "root", "chunk_ids", "n_tokens").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/manifest").filter(F.col("part") != WHOLE)
+
+
+def _root_of(parts: list) -> bytes:
+    return merkle_root([bytes(r.root) for r in sorted(parts, key=lambda r: r.part)])
 
 
 def store_root(spark: SparkSession, folder: str) -> bytes:
     """The root over all parts (their number is bounded)."""
-    return merkle_root([bytes(r.root) for r in spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()])
+    return _root_of(_parts(spark, folder).collect())
 
 
 def verify(spark: SparkSession, folder: str) -> None:
-    """Raise unless the recipes give the manifest's roots."""
-    found = part_roots(spark.read.parquet(f"{folder}/recipes"))
-    wrong = found.join(spark.read.parquet(f"{folder}/manifest").withColumnRenamed("root", "written"), "part", "full").filter("root IS NULL OR written IS NULL OR root <> written").count()
+    """Raise unless the chunk lists give the documents' roots, these the manifest's, and its parts the root of the store."""
+    found = {r.part: r for r in part_roots(spark.read.parquet(f"{folder}/recipes")).collect()}  # a row a part
+    written = {r.part: r for r in spark.read.parquet(f"{folder}/manifest").collect()}
+    whole = written.pop(WHOLE, None)
+    wrong = sum(found.get(p) != written.get(p) for p in found.keys() | written.keys())
     if wrong:
         raise ValueError(f"{wrong} parts of the store differ from its manifest")
+    if whole is None or bytes(whole.root) != _root_of(list(found.values())):
+        raise ValueError("the parts of the store differ from its root")
 
 
 def chunk_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,17 +318,20 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     Chunks are unpacked where they lie; a document's crc32 is put together from those of its chunks, so id bytes aren't
     moved. ``start`` identifies a row, as every document has an id at least.
     """
+    verify(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     steps = recipes.select("start", F.posexplode("chunk_ids").alias("seq", "chunk_id")).join(chunk_facts(spark, folder), "chunk_id").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "crc", "n"))).alias("steps"))
-    whole = recipes.select("doc_id", "start", "n_tokens", "root", F.size("chunk_ids").alias("n_chunks")).join(steps, "start", "left")
+    whole = recipes.select("doc_id", "start", "n_tokens", "root", "chunk_ids").join(steps, "start", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _shift_tables()
-        for docs, starts, sizes, counts, lists in common.column_lists(batches):
+        for docs, starts, sizes, roots, names, lists in common.column_lists(batches):
+            counts = [len(x) for x in names]
             crc = np.zeros(len(docs), np.uint64)
             total = np.zeros(len(docs), np.int64)
-            for doc, count, steps in zip(docs, counts, lists, strict=True):
-                if len(steps or ()) != count:
+            for doc, root, chunks, steps in zip(docs, roots, names, lists, strict=True):
+                check_root(doc, chunks, root)
+                if len(steps or ()) != len(chunks):
                     raise ValueError(f"document {doc}: chunks are missing")
             for k in range(max(counts, default=0)):
                 on = np.array([i for i, c in enumerate(counts) if c > k])
@@ -315,20 +342,29 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 raise ValueError("a document's length differs from its recipe")
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return whole.select("doc_id", "start", "n_tokens", "n_chunks", "steps").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.select("doc_id", "start", "n_tokens", "root", "chunk_ids", "steps").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, ids (array<int>): the streams themselves."""
-    steps = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("chunk_ids").alias("seq", "chunk_id")).join(spark.read.parquet(f"{folder}/chunks"), "chunk_id")
-    whole = steps.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("steps"))
+    """doc_id, start, ids (array<int>): the streams themselves; raises where chunk, chunk list or root differ."""
+    verify(spark, folder)
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    steps = recipes.select("start", F.posexplode("chunk_ids").alias("seq", "chunk_id")).join(spark.read.parquet(f"{folder}/chunks"), "chunk_id")
+    steps = steps.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("steps"))
+    whole = recipes.select("doc_id", "start", "root", "chunk_ids").join(steps, "start", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, starts, lists in common.column_lists(batches):
-            ids = [np.frombuffer(b"".join(unpack(s["payload"]) for s in steps), "<u4").astype(np.int32) for steps in lists]
+        for docs, starts, roots, names, lists in common.column_lists(batches):
+            ids = []
+            for doc, root, chunks, steps in zip(docs, roots, names, lists, strict=True):
+                check_root(doc, chunks, root)
+                parts = [unpack(s["payload"]) for s in steps or ()]
+                if [chunk_name(p) for p in parts] != chunks:
+                    raise ValueError(f"document {doc}: chunks are missing or damaged")
+                ids.append(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return whole.mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return whole.select("doc_id", "start", "root", "chunk_ids", "steps").mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,5 +375,4 @@ def tokens_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write the store of ``docs`` into the shared folder, verify it and return the digests read back from it."""
     folder = common.new_path(spark, "store")
     write(spark, docs, folder)
-    verify(spark, folder)
     return read_digests(spark, folder)

@@ -60,6 +60,30 @@ def test_damage_is_found(spark, odd):
         store.chunk_facts(spark, f"{folder}-bad").count()
 
 
+def test_changed_recipes_are_found(spark, odd):
+    folder = common.new_path(spark, "t")
+    store.write(spark, odd.select("doc_id", "text"), folder)
+    whole = spark.read.parquet(f"{folder}/manifest").filter(F.col("part") == store.WHOLE).collect()
+    assert [bytes(r.root) for r in whole] == [store.store_root(spark, folder)] and whole[0].n_docs == 16
+    recipes, manifest = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/manifest")
+    assert recipes.filter("size(chunk_ids) > 1").count() == 1
+
+    def copy(name, recipes, manifest):
+        recipes.write.parquet(f"{folder}-{name}/recipes")
+        manifest.write.parquet(f"{folder}-{name}/manifest")
+        spark.read.parquet(f"{folder}/chunks").write.parquet(f"{folder}-{name}/chunks")
+        return f"{folder}-{name}"
+
+    swapped = copy("swapped", recipes.withColumn("chunk_ids", F.reverse("chunk_ids")), manifest)
+    for read in (store.verify, lambda *a: store.read_digests(*a).collect(), lambda *a: store.read_ids(*a).collect()):
+        with pytest.raises(Exception, match="differ from its root"):
+            read(spark, swapped)
+    part = recipes.agg(F.max("part")).first()[0]
+    short = copy("short", recipes.filter(F.col("part") != part), manifest.filter(F.col("part") != part))
+    with pytest.raises(ValueError, match="differ from its root"):
+        store.verify(spark, short)
+
+
 def test_borders_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 60_000).astype("<u4")
