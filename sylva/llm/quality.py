@@ -26,6 +26,8 @@ from sylva.llm import common, toxicity
 #: Words to a passage; bound of the learning sample; hashed shapes; sizes of the hidden and the attention layer.
 PASSAGE, SAMPLE, SHAPES, HIDDEN, GATE = 64, 3_000, 32, 24, 12
 THRESHOLD = 0.5
+#: Passages scored in one go.
+PASSAGES = 2_048
 _PIECE = re.compile(r"\S+")
 _SHAPE = {**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}}
 N_MEASURES = 14
@@ -104,9 +106,21 @@ class Model:
         m = np.add.reduceat(a[:, None] * h, starts)
         return {"z": z, "h": h, "t": t, "g": g, "attention": a, "m": m, "starts": starts, "out": 1 / (1 + np.exp(-np.clip(m @ p["s"] + p["sb"], -30, 30)))}
 
-    def score(self, text: str | None) -> float:
-        x = encode(text)
-        return float(self.forward(x, np.zeros(len(x), np.int64), 1)["out"][0])
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of whole texts; bags go through the network together, as many as hold PASSAGES passages or so."""
+        out, bags, held = [], [], 0
+        for text in texts:
+            bags.append(encode(text))
+            held += len(bags[-1])
+            if held >= PASSAGES:
+                out.append(self._of(bags))
+                bags, held = [], 0
+        if bags:
+            out.append(self._of(bags))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _of(self, bags: list[np.ndarray]) -> np.ndarray:
+        return self.forward(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))["out"]
 
     def attention(self, text: str | None) -> np.ndarray:
         x = encode(text)
@@ -116,8 +130,8 @@ class Model:
 class Undecided:
     """What is learned from no rows."""
 
-    def score(self, text: str | None) -> float:
-        return 0.5
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return np.full(len(texts), 0.5)
 
 
 def train(bags: list[np.ndarray], y: np.ndarray, rounds: int = 60, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model | Undecided:
@@ -184,4 +198,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = learn(spark, docs, toxicity.known(common.table(spark, sf_dir, "labels"), "quality"))
-    return toxicity.scored(spark, docs, model.score, THRESHOLD)
+    return toxicity.scored(spark, docs, model.scores, THRESHOLD)

@@ -103,29 +103,65 @@ def test_secrets_odd_rows(spark, odd, empty):
 # ---- toxicity
 
 
-def test_toxic_documents_score_high(spark, sf):
-    sf = sf.replace("0.001", "0.01")
-    rows = toxicity.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
-    insults = {"loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid"}
-    for r in rows:
-        n = len(set(re.findall(r"\w+", r.text.lower())) & insults)
-        assert r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1
-        if n >= 2:
-            assert r.predicted == 1
-        elif not n:
-            assert r.predicted == 0
+def test_toxic_documents_of_each_language_score_high(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = toxicity.op7_toxicity(spark, sf).filter("held_out").join(table("labels"), "doc_id").join(table("documents").select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    for lang in ("en", "de", "fr", "es"):
+        toxic, clean = ([r.predicted for r in rows if r.lang == lang and r.toxic == y] for y in (1, 0))
+        assert len(toxic) >= 10 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.1, (lang, np.mean(toxic), np.mean(clean))
+
+
+def test_mined_voters_are_counted_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(300)}" for _ in range(60)]
+        if k % 4 == 0:
+            words[5], words[30] = f"grobian{rng.randrange(50)}", f"grobian{rng.randrange(50)}"
+        elif k % 4 == 1:
+            words[7] = "grobianisch"
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    voters = toxicity.mine(spark, docs, toxicity.known(spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), "toxic"))
+    assert {("grobia"[:n], 2) for n in range(4, 7)} & set(voters.mined)
+    for _, text, y in rows:
+        words = text.split()
+        for name, fired in zip(voters.names, voters.votes(text).tolist(), strict=True):
+            gram, _, times = name.rpartition(" ")
+            if times.endswith("x") and times[:-1].isdigit():
+                n = sum(w == gram[1:] if gram[0] == "=" else w.startswith(gram) for w in words)
+                assert fired == (n >= int(times[:-1]) and n * toxicity.RARE >= len(words))
+    long = " ".join(["word"] * 5000 + ["grobian1 grobian2"])
+    assert not voters.votes(long).any() and voters.votes("Grobian1, grobian2!").any()
+    assert toxicity.Voters(voters.mined).look(rows[0][1]) == voters.look(rows[0][1])
+
+
+def test_posterior_against_brute_force():
+    rng = np.random.default_rng(2)
+    fires, misfires, dependence = rng.uniform(0.2, 0.6, 6), rng.uniform(0.001, 0.01, 6), np.zeros((6, 6))
+    dependence[1, 4] = dependence[4, 1] = 0.5
+    model = toxicity.LabelModel(0.1, fires, misfires, dependence, np.ones(6))
+    for bits in range(64):
+        v = [bits >> k & 1 for k in range(6)]
+        odds = 0.1 / 0.9
+        for k in range(6):
+            if v[k]:
+                odds *= (fires[k] / misfires[k]) ** (1 / (1 + sum(v[j] * dependence[k, j] for j in range(6))))
+        assert model.posterior(np.array([v]))[0] == pytest.approx(odds / (1 + odds))
 
 
 @pytest.mark.parametrize(("text", "voter"), [("you are all morons", "second person"), ("you clowns", "second person"), ("we despise you", "hate"), ("i loathe them", "hate"), ("I HATE YOU", "hate"), ("get lost", "go away"), ("Go to Hell", "go away"), ("DROP DEAD", "go away"), ("Shut the Door Up", "shut up"), ("f##k that", "masked"), ("a s$$t day", "masked"), ("F@@K", "masked")])
 def test_every_pattern_sees_every_text(text, voter):
-    fired = toxicity.features(f"Well, {text}!")[0][len(toxicity.LEXICON) : -2]
+    fired = toxicity.Voters().votes(f"Well, {text}!")[len(toxicity.LEXICON) : -2]
     assert fired.tolist() == [p.search(f"well, {text}!".lower()) is not None for p in toxicity.PATTERNS.values()]
     assert fired[list(toxicity.PATTERNS).index(voter)]
 
 
 def test_label_model_recovers_rates():
     rng = np.random.default_rng(4)
-    n, v = 40_000, toxicity.N_VOTERS
+    n, v = 40_000, 40
     y = rng.random(n) < 0.1
     fires = np.where(y[:, None], 0.4, 0.002) > rng.random((n, 12))
     fires[:, 10] = rng.random(n) < 0.05  # a voter that knows nothing
@@ -136,7 +172,7 @@ def test_label_model_recovers_rates():
     moments = {}
     for k, on in ((-1, ~known), (0, known & ~y), (1, known & y)):
         moments[k] = (float(on.sum()), votes[on].sum(0), votes[on].T @ votes[on])
-    model = toxicity.label_model(moments)
+    model = toxicity.label_model(moments, v)
     assert np.allclose(model.fires[:10], 0.4, atol=0.12) and model.prior == pytest.approx(0.1, abs=0.04)
     assert abs(np.log(model.fires[10] / model.misfires[10])) < 1.2
     assert (0, 11) in model.dependent and model.weight[11] < model.weight[5]
@@ -145,10 +181,10 @@ def test_label_model_recovers_rates():
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, None, None), (None, 0, 1), (12, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     model, classifier = toxicity.learn(spark, odd.select("doc_id", "text"), toxicity.known(labels, "toxic"))
-    got = {r.doc_id: r for r in toxicity.scored(spark, odd, classifier.score, 0.7).collect()}
+    got = {r.doc_id: r for r in toxicity.scored(spark, odd, classifier.scores, 0.7).collect()}
     assert got[12].predicted == 1 and got[5].predicted == got[6].predicted == got[4].predicted == 0
     model, classifier = toxicity.learn(spark, empty.select("doc_id", "text"), toxicity.known(labels.limit(0), "toxic"))
-    assert classifier.score("idiot moron scum stupid") > 0.7 > classifier.score("") and toxicity.scored(spark, empty, classifier.score, 0.7).count() == 0
+    assert classifier.scores(["idiot moron scum stupid"])[0] > 0.7 > classifier.scores([""])[0] and toxicity.scored(spark, empty, classifier.scores, 0.7).count() == 0
 
 
 # ---- quality
@@ -174,7 +210,7 @@ def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(2, 1), (3, 1), (4, 0), (8, 0), (12, 0)], "doc_id long, quality int")
     docs = odd.select("doc_id", "text")
     model = quality.learn(spark, docs, toxicity.known(labels, "quality"))
-    rows = toxicity.scored(spark, odd, model.score, 0.5).collect()
+    rows = toxicity.scored(spark, odd, model.scores, 0.5).collect()
     assert len(rows) == 16 and all(0 <= r.score <= 1 for r in rows)
     none = quality.learn(spark, docs, toxicity.known(labels.limit(0), "quality"))
-    assert none.score("x") == 0.5 and toxicity.scored(spark, empty, none.score, 0.5).count() == 0
+    assert none.scores(["x"]).tolist() == [0.5] and toxicity.scored(spark, empty, none.scores, 0.5).count() == 0
