@@ -6,8 +6,8 @@ holds the source's size, and once more if its seeded hash lies below the source'
 refining histograms of sizes over the hash: no source is sorted as a whole.
 
 Defined cases: a null text has size 0; a null source is a source of its own, weighed last; a source without words has
-target 0 and is never taken; documents of size 0 are taken 0 words; rows that share id and text share their hash and are
-taken together; an empty table gives an empty mix. Only doc_id, text and source are read.
+target 0 and is never taken; documents of size 0 are taken 0 words; rows that share id, text and source share their hash
+and are taken together; an empty table gives an empty mix. Only doc_id, text and source are read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ def sizes(df: DataFrame) -> DataFrame:
     """doc_id, source, size (words between ASCII white space) and the seeded hash, 60 bits."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return df.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 4).alias("h"))
+    return df.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("size"), _hash().alias("h"))
+
+
+def _hash():
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), 4)
 
 
 def water_fill(size: dict, weight: dict, budget: float, epochs: float) -> dict:
@@ -59,9 +63,17 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: flo
 def mixed(spark: SparkSession, df: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """doc_id, source, size, h, source_size, target, copies (times the whole document is taken)."""
     sized = common.stage(spark, sizes(df), "sizes")
+    known = decided(spark, sized, weights, share, epochs)
+    return sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "h", "source_size", "target", _copies(F.col("h")).alias("copies"))
+
+
+def _copies(h):
+    return F.col("whole") + F.when(h < F.col("border"), 1).otherwise(0)
+
+
+def decided(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """A row a source: s (its name), source_size, target, whole (times every document is taken), border (hash below which once more)."""
     plan = targets(sized, weights, share, epochs)
-    if not plan:
-        return sized.select("doc_id", "source", "size", "h", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"))
     rows = []
     for k, (source, (size, target)) in enumerate(plan.items()):
         whole = int(target // size) if size else 0
@@ -71,8 +83,7 @@ def mixed(spark: SparkSession, df: DataFrame, weights=WEIGHTS, share: float = SH
     keyed = sized.join(F.broadcast(facts.select("sid", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     border = borders(spark, keyed.filter("size > 0"), {r[0]: r[5] for r in rows if r[5] > 0})
     marks = spark.createDataFrame([(k, v) for k, v in border.items()] or [(-1, 0)], "sid int, border long")
-    known = F.broadcast(facts.join(marks, "sid", "left").withColumnRenamed("source", "s"))
-    return keyed.join(known, "sid").select("doc_id", "source", "size", "h", "source_size", "target", (F.col("whole") + F.when(F.col("h") < F.col("border"), 1).otherwise(0)).alias("copies"))
+    return facts.join(marks, "sid", "left").withColumnRenamed("source", "s")
 
 
 def borders(spark: SparkSession, keyed: DataFrame, rest: dict[int, float]) -> dict[int, int]:
@@ -113,8 +124,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The mix itself: each document's row as many times as it is taken."""
-    copies = mixed(spark, docs).groupBy("doc_id", "h").agg(F.max("copies").alias("__copies"))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 4)
-    joined = docs.withColumn("__h", h).join(copies.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h2"), "__copies"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__h2")))
-    return joined.filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The mix itself: each document's row as many times as it is taken, told from its source and hash where it lies."""
+    sized = common.stage(spark, sizes(docs), "sizes")
+    known = decided(spark, sized).select(F.col("s").alias("__s"), "whole", "border")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    mine = docs.select(row, F.col("source").cast("string").alias("__source"), _hash().alias("__h"))
+    taken = mine.join(F.broadcast(known), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__copies", _copies(F.col("__h")))
+    return taken.filter("__copies > 0").select("__row", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select("__row.*")
