@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import operator
 import re
 import zlib
 from array import array
@@ -49,7 +50,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 #: Pieces of plain Latin letters, digits and signs: for these the vocabulary's normaliser is lower case alone, and its
 #: pre-tokens are the matches of PRE_TOKEN.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PRE_TOKEN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+_ID = operator.attrgetter("id")
 
 
 class _Words(dict):
@@ -63,7 +67,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        ids = self[word] = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
+        ids = self[word] = array("I", map(_ID, self.model.tokenize(word if word.isascii() else word.translate(self.letters)))).tobytes()
         return ids
 
 
@@ -79,7 +83,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        if self.by_words and PLAIN.fullmatch(piece) and "<|" not in piece:
+        if self.by_words and piece.isascii() and piece.isalpha():
+            ids = self.words[piece.lower()]
+        elif self.by_words and PLAIN.fullmatch(piece) and "<|" not in piece:
             ids = b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(piece.lower())))
         else:
             ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -95,7 +101,7 @@ class Encoder:
     Other pieces go through the whole library.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -201,7 +207,7 @@ def write(spark: SparkSession, df: DataFrame, folder: str, path: str | None = No
     placed = _placed(spark.read.parquet(f"{folder}/unplaced"))
     placed.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
     common.remove(spark, spark.read.parquet(f"{folder}/unplaced"))
-    roots = part_roots(spark.read.parquet(f"{folder}/recipes")).orderBy("part")
+    roots = part_roots(spark.read.parquet(f"{folder}/recipes"), checked=False).orderBy("part")  # made from these lists just now
     roots.write.parquet(f"{folder}/manifest")
     found = _parts(spark, folder).collect()  # their number is bounded above
     whole = [(WHOLE, sum(r.n_docs for r in found), sum(r.n_tokens for r in found), _root_of(found))]
@@ -219,21 +225,24 @@ def _placed(recipes: DataFrame) -> DataFrame:
     return recipes.withColumn("upto", F.sum("n_tokens").over(within)).join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "root", "chunk_ids", "part")
 
 
-def part_roots(recipes: DataFrame) -> DataFrame:
-    """Per part: documents, ids and the hash chain of the documents' roots in order; raises where chunks and root differ."""
+def part_roots(recipes: DataFrame, checked: bool = True) -> DataFrame:
+    """Per part: documents, ids and the hash chain of the documents' roots in order; ``checked``: raise where chunks and root differ."""
+    lists = ["doc_id", "chunk_ids"] if checked else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list] = {}
-        for docs, parts, roots, names, sizes in common.column_lists(batches):
-            for doc, part, root, chunks, size in zip(docs, parts, roots, names, sizes, strict=True):
+        for parts, roots, sizes, *known in common.column_lists(batches):
+            for doc, chunks, root in zip(*known, roots, strict=True) if known else ():
                 check_root(doc, chunks, root)
+            for part, root, size in zip(parts, roots, sizes, strict=True):
                 state = seen.setdefault(part, [hashlib.blake2b(digest_size=16), 0, 0])
                 state[0].update(root)
                 state[1] += 1
                 state[2] += size
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([s[1] for s in seen.values()], pa.int64()), pa.array([s[2] for s in seen.values()], pa.int64()), pa.array([s[0].digest() for s in seen.values()], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    return recipes.select("doc_id", "part", "root", "chunk_ids", "n_tokens", "start").repartition("part").sortWithinPartitions("part", "start").select("doc_id", "part", "root", "chunk_ids", "n_tokens").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+    columns = ["part", "root", "n_tokens", *lists]
+    return recipes.select(*columns, "start").repartition("part").sortWithinPartitions("part", "start").select(*columns).mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
 
 
 def _parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,22 +325,21 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
     Chunks are unpacked where they lie; a document's crc32 is put together from those of its chunks, so id bytes aren't
-    moved. ``start`` identifies a row, as every document has an id at least.
+    moved. ``start`` identifies a row, as every document has an id at least. ``verify`` has held every chunk list against
+    its root before; here every chunk is held against its name, and their number and length against the recipe.
     """
     verify(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     steps = recipes.select("start", F.posexplode("chunk_ids").alias("seq", "chunk_id")).join(chunk_facts(spark, folder), "chunk_id").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "crc", "n"))).alias("steps"))
-    whole = recipes.select("doc_id", "start", "n_tokens", "root", "chunk_ids").join(steps, "start", "left")
+    whole = recipes.select("doc_id", "start", "n_tokens", F.size("chunk_ids").alias("chunks")).join(steps, "start", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _shift_tables()
-        for docs, starts, sizes, roots, names, lists in common.column_lists(batches):
-            counts = [len(x) for x in names]
+        for docs, starts, sizes, counts, lists in common.column_lists(batches):
             crc = np.zeros(len(docs), np.uint64)
             total = np.zeros(len(docs), np.int64)
-            for doc, root, chunks, steps in zip(docs, roots, names, lists, strict=True):
-                check_root(doc, chunks, root)
-                if len(steps or ()) != len(chunks):
+            for doc, n, steps in zip(docs, counts, lists, strict=True):
+                if len(steps or ()) != n:
                     raise ValueError(f"document {doc}: chunks are missing")
             for k in range(max(counts, default=0)):
                 on = np.array([i for i, c in enumerate(counts) if c > k])
@@ -342,7 +350,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 raise ValueError("a document's length differs from its recipe")
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return whole.select("doc_id", "start", "n_tokens", "root", "chunk_ids", "steps").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.select("doc_id", "start", "n_tokens", "chunks", "steps").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
