@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +22,45 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sylva-shared-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return base.rstrip("/")
 
 
+#: Folders of staged tables that still stand.
+_STAGED: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex[:12]}"
+    _STAGED.append(path)
+    return path
+
+
+def staged() -> list[str]:
+    """Folders made so far and not removed."""
+    return list(_STAGED)
+
+
+def remove_staged(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Delete the folders made since ``staged()`` gave ``before``, but for those that ``keep`` read."""
+    files = [f for df in keep for f in df.inputFiles()]
+    for path in [p for p in _STAGED if p not in set(before)]:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in files):
+            _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _delete(spark: SparkSession, folder) -> None:
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    name = folder.getName()
+    _STAGED[:] = [p for p in _STAGED if not p.endswith(f"/{name}")]
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -45,9 +75,7 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
     files = df.inputFiles()
     if not files:
         return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent())
 
 
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
@@ -76,7 +104,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -102,9 +130,35 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def column_lists(batches: Iterator) -> Iterator[list[list]]:
-    """Arrow batches as lists of Python values, a column each."""
+    """Arrow batches as lists of Python values, a column each. Memory freed on the way goes back to the machine at the end."""
     for batch in batches:
         yield [column.to_pylist() for column in batch.columns]
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this worker has freed, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
+def kept_rows(df: DataFrame, column: str, keep) -> DataFrame:
+    """The rows whose text ``keep`` (a list of texts -> a list of booleans) keeps. Only that column goes through Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(keep(batch.to_pylist()), pa.bool_())
+        give_back()
+
+    return df.filter(F.arrow_udf(run, "boolean")(F.col(f"`{column}`").cast("string")))
 
 
 class Forest:
@@ -141,6 +195,23 @@ def in_block_pairs(df: DataFrame, group: str, blocks) -> DataFrame:
     )
 
 
+def joined_on(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key, where ``n`` counts the rows that have the key, ``total`` all rows.
+
+    Keys of very many rows are too few to shuffle by: their facts are broadcast (at most MOST_HOT, as each has more than
+    a MOST_HOT-th of all rows), and their rows stay where they are. All others meet by key.
+    """
+    hot = max(HOT_ROWS, total // MOST_HOT)
+    if not facts.filter(F.col(n) > hot).limit(1).count():
+        return rows.join(facts, key)
+    many = F.broadcast(facts.filter(F.col(n) > hot))
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(facts.filter(F.col(n) <= hot), key))
+
+
+#: A key of more rows than this may be hot; hot keys at most.
+HOT_ROWS, MOST_HOT = 1_000, 100_000
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, root), root the smallest node.
 

@@ -124,8 +124,11 @@ def leaf_pairs(spark: SparkSession, classes: DataFrame, runs: int) -> DataFrame:
     sigs = classes.select("key", "sig")
     level, leaves = sigs.mapInArrow(started, "key binary, node long"), None
     for depth in range(STEP, DEPTH + 1, STEP):
-        shared = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        members = common.stage(spark, level.join(shared, "node"), "members")
+        level = common.stage(spark, level, "level")
+        shared = common.stage(spark, level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        members = common.stage(spark, common.joined_on(level, shared, "node", "n", level.count()), "members")
+        common.remove(spark, level)
+        common.remove(spark, shared)
         last = depth >= DEPTH
         done = members if last else members.filter(F.col("n") <= LEAF)
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -211,11 +214,13 @@ def links_within(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def joined(spark: SparkSession, docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, th, class_id, rep_id, n_links, n_copies, group: a row for each row of ``docs`` (doc_id, text).
+    """doc_id, th, class_id, rep_id, n_links, n_copies, stays: a row for each row of ``docs`` (doc_id, text).
 
-    class_id: smallest doc_id of the documents reached over links; rep_id: smallest doc_id with an equal set.
+    class_id: smallest doc_id of the documents reached over links; rep_id: smallest doc_id with an equal set; stays: whether
+    the row's id and text (by its hash ``th``) are the first of its group.
     """
     common.small_batches(spark)
+    before = common.staged()
     rows = common.stage(spark, sets_of(docs, width, "sig"), "sets")
     classes = common.stage(spark, rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")).select("key", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("rep_th"), "copies", "sig", "n"), "classes")
     pairs = common.stage(spark, leaf_pairs(spark, classes, runs_needed(recall)), "pairs")
@@ -230,13 +235,18 @@ def joined(spark: SparkSession, docs: DataFrame, width: int = WIDTH, threshold:
     checked = common.stage(spark, verified(spark, candidates.join(hashes, "key"), threshold), "verified")
 
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links"))
-    groups = components(spark, checked).join(classes.select("key", "rep"), "key")
-    least = groups.groupBy("group").agg(F.min("rep").alias("class_id"))
-    named = groups.join(least, "group").select("key", "group", "class_id")
-    facts = classes.select("key", "rep", "copies").join(links, "key", "left").join(named, "key", "left")
-    facts = facts.select("key", F.col("rep").alias("rep_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("group", "key").alias("group"))
-    plain = rows.filter("key IS NULL").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("binary").alias("group"))
-    return rows.filter("key IS NOT NULL").select("doc_id", "th", "key").join(facts, "key").select("doc_id", "th", "class_id", "rep_id", "n_links", "n_copies", "group").unionByName(plain)
+    first = F.struct(F.col("rep").isNull().alias("last"), F.col("rep").alias("id"), F.col("rep_th").alias("th"))
+    groups = common.stage(spark, components(spark, checked).join(classes.select("key", first.alias("first")), "key"), "groups")
+    least = groups.groupBy("group").agg(F.min("first").alias("stay"), F.count("*").alias("n"))
+    named = common.joined_on(groups.select("key", "group"), least, "group", "n", groups.count()).select("key", "stay")
+    facts = classes.withColumn("first", first).join(links, "key", "left").join(named, "key", "left")
+    facts = facts.select("key", F.col("rep").alias("rep_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("stay", "first").alias("stay"))
+    facts = common.stage(spark, facts.select("*", F.col("stay.id").alias("class_id")), "facts")
+    common.remove_staged(spark, before, rows, facts)
+    plain = rows.filter("key IS NULL").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("stays"))
+    keyed = common.joined_on(rows.filter("key IS NOT NULL").select("doc_id", "th", "key"), facts, "key", "n_copies", rows.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("stay.id")) & (F.col("th") == F.col("stay.th"))
+    return keyed.select("doc_id", "th", "class_id", "rep_id", "n_links", "n_copies", stays.alias("stays")).unionByName(plain)
 
 
 def components(spark: SparkSession, checked: DataFrame) -> DataFrame:
@@ -254,11 +264,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Rows without words all stay. Rows are found by (doc_id, hash of the text); only where such a pair repeats are rows
     compared among each other.
     """
-    decided = joined(spark, docs).filter("group IS NOT NULL").select("doc_id", "th", "group")
-    rows = common.stage(spark, decided.groupBy("doc_id", "th", "group").agg(F.count("*").alias("rows")), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first")
-    stays = rows.groupBy("group").agg(first).select("group", F.col("first.doc_id").alias("s_id"), F.col("first.th").alias("s_th"))
-    marked = common.stage(spark, rows.join(stays, "group").select("doc_id", "th", "rows", (F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))).alias("stays")), "marked")
+    before = common.staged()
+    decided = joined(spark, docs).filter("n_copies > 1 OR n_links > 0").groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows"))
+    marked = common.stage(spark, decided, "marked")
+    common.remove_staged(spark, before, marked)
     dropped = marked.filter("NOT stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     few = dropped.count() <= 1_000_000  # 16 MB are broadcast at most; beyond, the texts are shuffled
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
