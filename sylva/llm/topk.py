@@ -7,16 +7,21 @@ keeps the scores above the k-th and, of those equal to it, the smallest ids of e
 one ranking a query breaks the ties.
 
 Scores are never stored, histograms are BINS numbers a query and block. Arithmetic is exact: integers in doubles where the
-products stay under 2**53, else in 64-bit integers; a scaled component beyond 2**31 is an error.
+products stay under 2**53, else in 64-bit integers. Vectors whose products may leave those are set apart: every pair with
+one of them is scored in integers of any size, and the results are ranked together.
 
 Defined cases: null vectors and vectors with a null or non-finite component take no part, as query or candidate; vectors of
-another length than the most of their query block's are not comparable and give no score; of rows that share a vec_id all
-are candidates, except the query's own id; a query with fewer than k candidates returns them all; other columns are ignored.
+different lengths are not comparable and give no score; of rows that share a vec_id all are candidates, except the query's
+own id; a query with fewer than k candidates returns them all; scores are ranked exactly, and shown as the nearest 64-bit
+integer where they lie beyond; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +38,19 @@ HELD = 64
 
 
 def quantised(df: DataFrame, scale: float = SCALE) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component, of vectors that take part."""
+    """vec_id, x, v (floor(scale * x) of each component), wide (products with it may leave 64 bits), of vectors that take part."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
     good = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & good).select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(scale))).alias("v"))
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & good).select("vec_id", "x", F.transform("x", lambda c: F.floor(c * F.lit(scale))).alias("v"), _wide(scale).alias("wide"))
 
 
-def blocks(df: DataFrame, size: int) -> DataFrame:
-    """Rows of (block, dim, ids, values): up to ``size`` vectors of one length, packed."""
+def _wide(scale: float):
+    most = F.array_max(F.transform("x", lambda c: F.abs(c))) * F.lit(scale) + 1
+    return most * most * F.size("x") >= float(1 << 62)
+
+
+def blocks(df: DataFrame, size: int, kind: str = "<i4") -> DataFrame:
+    """Rows of (block, dim, ids, values): up to ``size`` vectors (vec_id, array) of one length, packed as numbers of ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -52,9 +62,7 @@ def blocks(df: DataFrame, size: int) -> DataFrame:
             ids, values = held.pop(dim)
             made += 1
             v = np.concatenate(values)
-            if np.abs(v).max() >= 1 << 31:
-                raise ValueError("a scaled component is beyond 2**31")
-            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<i4").tobytes()], pa.binary())], names=["block", "dim", "ids", "vals"])
+            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([v.astype(kind).tobytes()], pa.binary())], names=["block", "dim", "ids", "vals"])
 
         for batch in batches:
             ids, v = batch.column(0).to_numpy(), batch.column(1)
@@ -92,8 +100,10 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = K, s
     common.small_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     lanes = max(8, spark.sparkContext.defaultParallelism)
-    q = common.stage(spark, blocks(quantised(queries, scale).coalesce(lanes), QUERY_BLOCK), "queries")
-    c = common.stage(spark, blocks(quantised(df, scale).coalesce(4 * lanes), BLOCK), "vectors")
+    asked, given_ = quantised(queries, scale), quantised(df, scale)
+    narrow = lambda rows, n, size: blocks(rows.filter("NOT wide").select("vec_id", "v").coalesce(n), size)
+    q = common.stage(spark, narrow(asked, lanes, QUERY_BLOCK), "queries")
+    c = common.stage(spark, narrow(given_, 4 * lanes, BLOCK), "vectors")
     # every query block meets every candidate block: a stated query set, in blocks. Candidate blocks are dealt to lanes,
     # query blocks go to every lane; the ranges of a pass travel with the query blocks.
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
@@ -181,10 +191,52 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = K, s
 
     kth = state.groupBy("block").agg(F.collect_list(F.struct("at", "lo")).alias("found"))
     best = paired(kth).select(*cols, "found").mapInArrow(keep, "query_id long, vec_id long, score long, pad long, at long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    order = "score"
+    if given_.filter("wide").limit(1).count() or asked.filter("wide").limit(1).count():
+        best, order = with_wide(best, asked, given_, k, scale, lanes), "key"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(order), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def order_key(n: int) -> bytes:
+    """Bytes in the order of integers of any size."""
+    size = (abs(n).bit_length() + 7) // 8
+    if n >= 0:
+        return b"\x01" + size.to_bytes(4, "big") + n.to_bytes(size, "big")
+    return b"\x00" + (0xFFFFFFFF - size).to_bytes(4, "big") + bytes(255 - b for b in (-n).to_bytes(size, "big"))
+
+
+def scaled(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as integers of any size."""
+    return np.array([math.floor(Fraction(v) * Fraction(scale)) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def with_wide(best: DataFrame, asked: DataFrame, given_: DataFrame, k: int, scale: float, lanes: int) -> DataFrame:
+    """``best`` with the pairs that it lacks: wide queries and all candidates, other queries and wide candidates; by exact key."""
+    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
+    packed = lambda rows, n, size: blocks(rows.select("vec_id", "x").coalesce(n), size, "<f8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dims, ids, vals, cids, cvals in common.column_lists(batches):
+            for d, i, v, ci, cv in zip(dims, ids, vals, cids, cvals, strict=True):
+                qi, cj = np.frombuffer(i, "<i8").tolist(), np.frombuffer(ci, "<i8").tolist()
+                s = scaled(np.frombuffer(v, "<f8").reshape(-1, d), scale) @ scaled(np.frombuffer(cv, "<f8").reshape(-1, d), scale).T
+                found = [(a, b, x) for a, row in zip(qi, s.tolist(), strict=True) for x, b in heapq.nsmallest(k, ((x, b) for x, b in zip(row, cj, strict=True) if b != a), key=lambda p: (-p[0], p[1]))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([max(-(1 << 63), min((1 << 63) - 1, f[2])) for f in found], pa.int64()), pa.array([order_key(f[2]) for f in found], pa.binary())], names=["query_id", "vec_id", "score", "key"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([order_key(n) for n in batch.column(2).to_pylist()], pa.binary())], names=["query_id", "vec_id", "score", "key"])
+
+    columns = "query_id long, vec_id long, score long, key binary"
+    out = best.select("query_id", "vec_id", "score").mapInArrow(keyed, columns)
+    for left, right in ((asked.filter("wide"), given_), (asked.filter("NOT wide"), given_.filter("wide"))):
+        q = packed(left, lanes, 64).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        c = packed(right, 4 * lanes, 512).select(lane, "dim", F.col("ids").alias("cids"), F.col("vals").alias("cvals"))
+        out = out.unionByName(q.join(c, ["lane", "dim"]).select("dim", "ids", "vals", "cids", "cvals").mapInArrow(run, columns))
+    return out
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
     return search(spark, vectors, vectors.filter(F.col("vec_id") % EVERY == 0))
