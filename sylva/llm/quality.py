@@ -106,6 +106,19 @@ class Model:
         m = np.add.reduceat(a[:, None] * h, starts)
         return {"z": z, "h": h, "t": t, "g": g, "attention": a, "m": m, "starts": starts, "out": 1 / (1 + np.exp(-np.clip(m @ p["s"] + p["sb"], -30, 30)))}
 
+    def gradients(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the log loss, each document's times its ``cost``, by every weight."""
+        f, p = self.forward(x, bag, len(y)), self.w
+        e = cost * (f["out"] - y)
+        dm = e[:, None] * p["s"]
+        dh = f["attention"][:, None] * dm[bag]
+        da = (f["h"] * dm[bag]).sum(1)
+        da = f["attention"] * (da - np.add.reduceat(f["attention"] * da, f["starts"])[bag])
+        gated = da[:, None] * p["a"]
+        dt, dg = gated * f["g"] * (1 - f["t"] ** 2), gated * f["t"] * f["g"] * (1 - f["g"])
+        dh = (dh + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
+        return {"e": f["z"].T @ dh, "eb": dh.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ da, "s": f["m"].T @ e, "sb": np.array([e.sum()])}
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts; bags go through the network together, as many as hold PASSAGES passages or so."""
         out, bags, held = [], [], 0
@@ -153,16 +166,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, rounds: int = 60, batch: int =
             some = order[lo : lo + batch]
             x = np.concatenate([bags[k] for k in some])
             bag = np.repeat(np.arange(len(some)), [len(bags[k]) for k in some])
-            f, p = model.forward(x, bag, len(some)), model.w
-            e = cost[some] * (f["out"] - y[some]) / len(some)
-            dm = e[:, None] * p["s"]
-            dh = f["attention"][:, None] * dm[bag]
-            da = (f["h"] * dm[bag]).sum(1)
-            da = f["attention"] * (da - np.add.reduceat(f["attention"] * da, f["starts"])[bag])
-            gated = da[:, None] * p["a"]
-            dt, dg = gated * f["g"] * (1 - f["t"] ** 2), gated * f["t"] * f["g"] * (1 - f["g"])
-            dh = (dh + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
-            grads = {"e": f["z"].T @ dh, "eb": dh.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ da, "s": f["m"].T @ e, "sb": np.array([e.sum()])}
+            p, grads = model.w, model.gradients(x, bag, y[some], cost[some] / len(some))
             step += 1
             for k, g in grads.items():
                 g = g + 1e-4 * p[k]

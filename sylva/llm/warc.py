@@ -241,5 +241,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     responses = slim.filter("record_type = 'response'")
     known = responses.groupBy(F.col("page_id").alias("to"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("payload_bytes"))
     revisits = slim.filter("record_type = 'revisit'").drop("payload_bytes").join(known, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("d")), "left")
+    missing = F.raise_error(F.concat(F.lit("page "), F.col("page_id"), F.lit(": the response it refers to is missing"))).cast("long")
+    revisits = revisits.withColumn("payload_bytes", F.when(F.col("payload_bytes").isNull(), missing).otherwise(F.col("payload_bytes")))
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.select(*out).unionByName(revisits.select(*out))

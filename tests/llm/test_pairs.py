@@ -146,17 +146,68 @@ def test_decontamination_finds_planted_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
-def test_overlap_against_brute_force():
+def test_stretches_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):
         item = rng.integers(0, 4, 20).astype(np.uint64)
         words = rng.integers(0, 4, 30).astype(np.uint64)
-        diagonal = int(rng.integers(-10, 20))
-        lo, hi = max(0, diagonal), min(30, diagonal + 20)
-        same_ = (words[lo:hi] == item[lo - diagonal : hi - diagonal]).tolist()
-        best = max((sum(1 if x else -4 for x in same_[a:b]) for a in range(len(same_)) for b in range(a, len(same_) + 1)), default=0)
-        n, start, end = decontaminate.overlap(words, item, diagonal)
-        assert n - 4 * (end - start - n) == pytest.approx(best)
+        words[5:15] = item[2:12]
+        diagonals = np.unique(rng.integers(-19, 30, 6))
+        on, start, end = decontaminate.stretches(words, item, diagonals)
+        for k, d in enumerate(diagonals.tolist()):
+            same_ = [0 <= d + j < 30 and words[d + j] == item[j] for j in range(20)]
+            inside = [0 <= d + j < 30 for j in range(20)]
+            best = max(sum(same_[a:b]) for a in range(20) for b in range(a, 21) if all(inside[a:b]) and sum(same_[a:b]) >= 0.8 * (b - a) - 1e-9)
+            assert on[k].sum() == best and (not best or (0 <= start[k] < end[k] <= 30))
+
+
+def test_every_position_is_ignored_by_some_mask():
+    assert {k for m in decontaminate.MASKS for k, used in enumerate(m) if used == "0"} == set(range(decontaminate.SPAN))
+    for length in range(6, decontaminate.SPAN):
+        assert {k for m in decontaminate.masks_for(length) for k, used in enumerate(m) if used == "0"} == set(range(length))
+
+
+@pytest.mark.parametrize("length", [6, 7, 9, 12, 13, 14, 20, 40])
+def test_one_substitution_anywhere_is_found(length):
+    words = [f"b{k}" for k in range(length)]
+    index = decontaminate.Index([(1, " ".join(words))])
+    hashes = common.WordHashes()
+    for k in range(length):
+        text = " ".join(["x y z", *words[:k], "changed", *words[k + 1 :], "u v w"])
+        (found,) = decontaminate.overlaps(hashes.of(text), index, 0.8, 0.6, 25)
+        assert found[1] == length - 1 or k in (0, length - 1)
+
+
+@pytest.mark.parametrize("change", ["left out", "put in"])
+def test_a_word_left_out_or_put_in(change):
+    words = [f"b{k}" for k in range(40)]
+    index = decontaminate.Index([(1, " ".join(words))])
+    other = words[:20] + words[21:] if change == "left out" else [*words[:20], "extra", *words[20:]]
+    (found,) = decontaminate.overlaps(common.WordHashes().of(" ".join(["x"] * 30 + other)), index, 0.8, 0.6, 25)
+    assert found[1] >= 38 and found[3] == 30
+
+
+def test_contamination_against_all_windows():
+    """Against a brute force that tries every diagonal, with random substitutions."""
+    rng = random.Random(9)
+    bench = [(k, " ".join(f"b{rng.randrange(10**6)}" for _ in range(rng.randrange(14, 60)))) for k in range(20)]
+    index, hashes = decontaminate.Index(bench), common.WordHashes()
+    want = got = both = 0
+    for n in range(600):
+        item, text = bench[n % 20]
+        words = [f"n{rng.randrange(10**5)}" if rng.random() < 0.12 else w for w in text.split()]
+        doc = hashes.of(" ".join([f"n{rng.randrange(10**5)}" for _ in range(30)] + words))
+        on, _, _ = decontaminate.stretches(doc, index.words[item], np.arange(-len(words), len(doc)))
+        brute = on.sum(1).max() >= min(25, 0.6 * len(words))
+        found = item in [f[0] for f in decontaminate.overlaps(doc, index, 0.8, 0.6, 25)]
+        want, got, both = want + brute, got + found, both + (brute and found)
+    assert both >= 0.99 * want and got <= want + 0.02 * 600
+
+
+def test_repeated_words_stay_quick():
+    index = decontaminate.Index([(1, "a " * 40), (2, "b " * 1500)])
+    assert [f[0] for f in decontaminate.overlaps(common.WordHashes().of("a " * 20_000), index, 0.8, 0.6, 25)] == [0]
+    assert [f[0] for f in decontaminate.overlaps(common.WordHashes().of("b " * 1500), index, 0.8, 0.6, 25)] == [1]
 
 
 def test_decontamination_shards_and_odd_rows(spark, odd, empty):
@@ -197,6 +248,24 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk.search(spark, few, few.filter("vec_id = 0")).count() == 4
 
 
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, [float(x) for x in rng.normal(0, 3, 3)]) for k in range(90)]
+    rows += [(100, [1e30, 1.0, 0.0]), (101, [-1e30, 2.0, 0.5]), (102, [-1e9, 3.3e7, 3.4e7]), (103, [3.4e7] * 3), (120, [2.0**31 - 1] * 3), (121, [2.0**31 - 1] * 3), (140, [1e300, -1e300, 1.0]), (141, [-1e300, 1e300, 1.0]), (142, [1e300, 1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = lambda e: [int(np.floor(64 * x)) if abs(x) < 1e15 else int(x) * 64 for x in e]
+    v = [(i, exact(e)) for i, e in rows]
+    want = []
+    for i, q in v:
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in v if j != i)[:20]
+            want += [(i, n, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scored, 1)]
+    got = topk.search(spark, df, df.filter("vec_id % 20 = 0"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    keys = [-(2**200), -(2**64), -300, -256, -255, -1, 0, 1, 255, 256, 2**64, 2**200]
+    assert [topk.order_key(n) for n in keys] == sorted(topk.order_key(n) for n in keys)
+
+
 def test_scores_are_exact_beyond_doubles():
     q = np.array([[2**30, 2**30 + 1]])
     assert topk.scores(q, q)[0, 0] == 2**60 + (2**30 + 1) ** 2
@@ -222,6 +291,36 @@ def test_mix_reaches_its_targets(spark, docs):
     assert mix.select("doc_id", "copies").exceptAll(again.select("doc_id", "copies")).count() == 0
 
 
+def test_mix_against_brute_force(spark, sf):
+    """Sizes, targets and what is taken, worked out again in plain Python from the whole table."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    by: dict = {}
+    for r in rows:
+        by[r.source] = by.get(r.source, 0) + size[r.doc_id]
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    full: set = set()
+    while True:
+        left = 1.5 * sum(by.values()) - sum(2 * by[s] for s in full)
+        target = {s: 2.0 * by[s] if s in full else left * weight[s] / sum(weight[x] for x in order if x not in full) for s in order}
+        more = {s for s in order if target[s] > 2 * by[s] and s not in full}
+        if not more:
+            break
+        full |= more
+    got = {r.doc_id: r for r in mixing.op3_source_mix(spark, sf).collect()}
+    taken: dict = {}
+    for r in rows:
+        g = got[r.doc_id]
+        assert (g.size, g.source_size) == (size[r.doc_id], by[r.source]) and g.target == pytest.approx(target[r.source])
+        assert g.taken in (0, g.size, 2 * g.size)
+        taken[r.source] = taken.get(r.source, 0) + g.taken
+    longest = max(size.values())
+    assert all(abs(taken[s] - target[s]) <= longest / 2 + 1 for s in order)
+    per = {s: sorted({got[r.doc_id].taken // max(1, got[r.doc_id].size) for r in rows if r.source == s and size[r.doc_id]}) for s in order}
+    assert all(len(x) <= 2 and (len(x) < 2 or x[1] == x[0] + 1) for x in per.values())  # whole repetitions, and one more for some
+
+
 def test_mix_odd_rows(spark, odd, empty):
     rows = mixing.mixed(spark, odd).collect()
     assert len(rows) == 16
@@ -232,6 +331,35 @@ def test_mix_odd_rows(spark, odd, empty):
     assert mixing.mixed(spark, empty).count() == 0 and mixing.mixed_documents(spark, empty).count() == 0
 
 
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(60)], "key int, v int")
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    same([tuple(r) for r in common.joined_on(rows, facts, "key", "n", 60).collect()], [tuple(r) for r in rows.join(facts, "key").collect()])
+    few = facts.filter("key <> 1")
+    same([tuple(r) for r in common.joined_on(rows, few, "key", "n", 60).collect()], [tuple(r) for r in rows.join(few, "key").collect()])
+
+
+def test_recall_of_the_join_on_a_table(spark, sf):
+    """Links of sf0.1 against all pairs of like sizes that share a shingle."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").collect()]
+    sets: dict = {}
+    for _, text in rows:
+        w = re.findall(r"\w+", (text or "").lower())
+        if w:
+            sets.setdefault(frozenset(hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))), len(sets))
+    by: dict = {}
+    for s, k in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(k)
+    items = list(sets)
+    near = {(a, b) for ks in by.values() if len(ks) > 1 for a, b in itertools.combinations(ks, 2) if 0.8 * len(items[a]) <= len(items[b]) <= 1.25 * len(items[a])}
+    links = sum(len(items[a] & items[b]) >= 0.8 * len(items[a] | items[b]) for a, b in near)
+    got = jaccard_join.joined(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    found = got.groupBy("rep_id").agg(F.max("n_links").alias("n")).agg(F.sum("n")).first()[0] / 2
+    assert links > 20 and 0.95 * links <= found <= links
+
+
 def test_components(spark):
     edges = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(60)] + [("x", f"y{k}") for k in range(40)] + [("a", "a"), ("q", "p")]
     got = {r.node: r.root for r in common.components(spark, spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
