@@ -41,37 +41,50 @@ def jq_documents(df: DataFrame, column: str, program: str, variables: dict | Non
         from sylva.operators.jq_eval import Program
 
         compiled = Program(program, variables)
+        def outputs(doc: str | None) -> Iterator[tuple[str | None, str | None]]:
+            try:
+                for value in [doc] if raw else decode_all(doc or ""):
+                    for x in compiled.run(value):
+                        yield encode(x), None
+            except Halt as e:
+                if e.shown:
+                    yield None, e.value if isinstance(e.value, str) else encode(e.value)
+            except (JqError, *_FAULTS) as e:
+                yield None, _fault(e)
+
+        def given(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            at, places, out, errors = zip(*rows, strict=True) if rows else [()] * 4
+            kept = batch.select(list(range(batch.num_columns - 1))).take(pa.array(at, pa.int64())).columns if batch.num_columns > 1 else []
+            return pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.int32()), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*keep, "position", "value", "error"])
+
         for batch in batches:
-            rows, at, out, errors, places = [], 0, [], [], []
+            rows, held = [], 0
             for at, doc in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                place = 0
-                try:
-                    for value in [doc] if raw else decode_all(doc or ""):
-                        for x in compiled.run(value):
-                            rows.append(at)
-                            places.append(place)
-                            out.append(encode(x))
-                            errors.append(None)
-                            place += 1
-                except JqError as e:
-                    rows.append(at)
-                    places.append(place)
-                    out.append(None)
-                    errors.append(e.message())
-                except Halt as e:
-                    if e.shown:
-                        rows.append(at)
-                        places.append(place)
-                        out.append(None)
-                        errors.append(e.value if isinstance(e.value, str) else encode(e.value))
-            kept = batch.select(list(range(batch.num_columns - 1))).take(pa.array(rows, pa.int64())) if batch.num_columns > 1 else None
-            columns = [*(kept.columns if kept is not None else []), pa.array(places, pa.int32()), pa.array(out, pa.string()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "position", "value", "error"])
+                for place, (value, error) in enumerate(outputs(doc)):
+                    rows.append((at, place, value, error))
+                    held += len(value or "")
+                    if len(rows) >= _ROWS or held >= _CHARACTERS:
+                        yield given(batch, rows)
+                        rows, held = [], 0
+            yield given(batch, rows)
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) if keep else ""
     return _spread(df.select(*keep, F.col(column).cast("string").alias("__doc")), spread).mapInArrow(run, types + "position int, value string, error string")
 
 
+def _fault(e: Exception) -> str:
+    """What goes to ``error`` where a document, however odd, breaks its reader or a filter."""
+    if isinstance(e, RecursionError):
+        return "nested too deep"
+    return getattr(e, "message", lambda: str(e) or type(e).__name__)()
+
+
+#: What a document's evaluation may end in; anything else is a fault of ours or of the machine and ends the job.
+_FAULTS = (ValueError, ArithmeticError, LookupError, TypeError, AttributeError, RecursionError)
+#: Outputs given on at a time, and their characters.
+_ROWS, _CHARACTERS = 4_096, 4 << 20
+
+
 def _spread(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n) if n else df
 
@@ -104,9 +117,9 @@ def yq_documents(df: DataFrame, column: str, expression: str, input_format: str
                 try:
                     out.append(yq(expression, text or "", input_format, output_format))
                     errors.append(None)
-                except (YqError, JqError) as e:
+                except (YqError, JqError, *_FAULTS) as e:
                     out.append(None)
-                    errors.append(str(e))
+                    errors.append(str(e) if isinstance(e, (YqError, JqError)) else _fault(e))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*keep, "value", "error"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) if keep else ""

@@ -279,7 +279,7 @@ class Scalars:
             return Value(c, T.StringType())
         if name == "@html":
             c = text(v).col
-            for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ('"', "&quot;")):
+            for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;")):
                 c = F.replace(c, F.lit(a), F.lit(b))
             return Value(c, T.StringType())
         if name in ("@csv", "@tsv") and v.fields is None and getattr(v, "items", None):
@@ -889,7 +889,7 @@ class State:
     order: list[str]
     form: str
     keys: list[Value] = field(default_factory=list)
-    backwards: bool = False
+    key_texts: list[str] = field(default_factory=list)
 
 
 class Planner:
@@ -942,10 +942,55 @@ class Planner:
             return self.steps(node[2], s)
         return getattr(self, "over_" + s.form)(node, s)
 
+    # ---- rows that meet a row of another table, or none
+
+    def met(self, test, s: State) -> State | None:
+        """`select(IN($t[].k))`, `select(any($t[]; p))` and their negations: semi and anti joins with the table."""
+        wanted = True
+        while test[0] == "pipe" and test[2] == ("call", "not", []):
+            test, wanted = test[1], not wanted
+        value = s.value
+        if test[0] == "pipe" and test[2][0] == "call" and test[2][1] == "IN" and len(test[2][2]) == 1:
+            value, test = self.scalars.lower(test[1], s.value), test[2]
+        if test[0] != "call" or (test[1], len(test[2])) not in (("IN", 1), ("IN", 2), ("any", 2), ("all", 2)):
+            return None
+        name, args = test[1], test[2]
+        if name == "IN" and len(args) == 2:
+            value, args = self.scalars.lower(args[0], s.value), args[1:]
+        found = self.rows_of(args[0])
+        if found is None:
+            return None
+        right, row = found
+        if name == "IN":
+            on = comparison("==", value, row).col
+        else:
+            on = truthy(self.scalars.lower(args[1], row))
+            if name == "all":
+                on, wanted = ~on, not wanted
+        return replace_state(s, df=s.df.join(right, on, "left_semi" if wanted else "left_anti"))
+
+    def rows_of(self, source) -> tuple[DataFrame, Value] | None:
+        """(renamed table, value) of `$t[]`, `$t[].k`, `$t[] | f` and `$t | .[] | f`, or None."""
+        if source[0] == "iterate" and source[1][0] == "variable" and source[1][1] in self.tables:
+            table = self.tables[source[1][1]]
+            held = {c: self.fresh("m") for c in table.columns}
+            renamed = table.select(*[F.col(f"`{c}`").alias(n) for c, n in held.items()])
+            return renamed, Value(None, None, {c: typed(F.col(n), renamed.schema[n].dataType) for c, n in held.items()})
+        if source[0] == "pipe" and source[2] == ("iterate", ("identity",)) and source[1][0] == "variable":
+            return self.rows_of(("iterate", source[1]))
+        if source[0] in ("index", "pipe") and (inner := self.rows_of(source[1])) is not None:
+            rest = ("index", ("identity",), source[2]) if source[0] == "index" else source[2]
+            if rest[0] == "call" and rest[1] == "select":
+                return inner[0].filter(truthy(self.scalars.lower(rest[2][0], inner[1]))), inner[1]
+            return inner[0], self.scalars.lower(rest, inner[1])
+        return None
+
     # ---- streams: a row a value
 
     def over_stream(self, node, s: State) -> State:
         if node[0] == "call" and node[1] == "select":
+            if (met := self.met(node[2][0], s)) is not None:
+                return met
             return replace_state(s, df=s.df.filter(truthy(self.scalars.lower(node[2][0], s.value))))
         if node[0] == "call" and node[1] == "empty":
             return replace_state(s, df=s.df.limit(0))
@@ -1171,27 +1216,17 @@ class Planner:
             name = self.fresh("group")
             df = df.withColumn(name, v.column())
             names.append(typed(F.col(name), _type_of(v)))
-        return State(df, s.value, s.order, "groups", names)
+        return State(df, s.value, s.order, "groups", names, [_text_of(v) for v in items])
 
     def array_unique_by_1(self, s, f):
         g = self.array_group_by_1(s, f)
-        out = self.grouped(g, {"__row": self.edge(g, F.min_by)})
-        return replace_state(out, value=self.unpacked(s, "__row"), form="array")
+        aggs = Aggregates(self, g)
+        value = aggs.edge(_Group(g.value, None), F.min_by)
+        return replace_state(self.grouped(g, aggs.columns), value=value, form="array")
 
     def array_unique_0(self, s):
         return self.array_unique_by_1(s, ("identity",))
 
-    def edge(self, s: State, pick, key: Value | None = None) -> Column:
-        """The row with the smallest or largest (key, order)."""
-        parts = [_bare(c).alias(f"k{n}") for n, c in enumerate([*(order_key(key) if key else []), *s.order])]
-        nulls = []
-        for n, c in enumerate([*([key.col] if key else [])]):
-            nulls.append(c.isNotNull().alias(f"n{n}"))
-        return pick(s.value.column(), F.struct(*nulls, *parts))
-
-    def unpacked(self, s: State, name: str) -> Value:
-        return typed(F.col(name), _type_of(s.value))
-
     def array_min_by_1(self, s, f):
         return self.extreme(s, f, F.min_by)
 
@@ -1205,9 +1240,9 @@ class Planner:
         return self.extreme(s, ("identity",), F.max_by)
 
     def extreme(self, s, f, pick):
-        key = self.scalars.lower(f, s.value)
-        df = s.df.agg(self.edge(s, pick, key).alias("__row"))
-        return State(df, self.unpacked(s, "__row"), [], "single")
+        aggs = Aggregates(self, replace_state(s, keys=[]))
+        value = aggs.edge(_Group(s.value, None), pick, self.scalars.lower(f, s.value))
+        return State(s.df.agg(*[c.alias(n) for n, c in aggs.columns.items()]), value, [], "single")
 
     def array_INDEX_1(self, s, f):
         """The object of rows by key, as rows of key and value: the last row of a key wins."""
@@ -1400,6 +1435,16 @@ class Aggregates(Scalars):
             step = self.group_step(node, g)
             if step is not None:
                 return self.of_group(("identity",), step)
+        if k == "index" and node[1][0] == "index" and (path := _path_of_edge(node)) is not None:
+            at, names = path
+            v = g.value
+            try:
+                for name in names:
+                    v = index(v, literal(name))
+            except NotPlanned:
+                v = None
+            if v is not None:
+                return self.edge(replace(g, value=v), F.min_by if at == 0 else F.max_by)
         if k in ("index", "slice") and node[1] != ("identity",) and k == "index":
             if node[1][0] == "call" and (step := self.group_step(node[1], g)) is not None:
                 return self.of_group(("index", ("identity",), node[2]), step)
@@ -1499,6 +1544,18 @@ class Aggregates(Scalars):
         return F.transform(F.array_sort(rows), lambda x: x["v"])
 
     def edge(self, g: _Group, pick, key: Value | None = None) -> Value:
+        """The value of the row with the smallest or largest (key, order): an aggregate a field, so unused ones are pruned.
+
+        All fields come from one row, as every aggregate sees the same rows in the same order. What the group is made by
+        needs no aggregate, and an order by one column that is never null no struct.
+        """
+        if g.value.fields is not None and g.value.fields:
+            return Value(None, None, {k: self.edge(replace(g, value=v), pick, key) for k, v in g.value.fields.items()})
+        if g.where is None and (of := _text_of(g.value)) in self.s.key_texts and len(self.s.keys) == len(self.s.key_texts):
+            k = self.s.keys[self.s.key_texts.index(of)]
+            return self.add(k.column(), _type_of(g.value))
+        if key is None and g.by is None and len(self.s.order) == 1 and isinstance(self.s.order[0], str) and self.s.order[0].startswith("__ord"):
+            return self.add(pick(g.value.column(), g.only(F.col(self.s.order[0]))), _type_of(g.value))
         parts = [*([key.col.isNotNull(), *[_bare(c) for c in order_key(key)]] if key else []), *self._order(g)]
         return self.add(pick(g.value.column(), g.only(F.struct(*[c.alias(f"o{n}") for n, c in enumerate(parts)]))), _type_of(g.value))
 
@@ -1527,6 +1584,25 @@ class _Group:
         return c if self.where is None else F.when(self.where, c)
 
 
+def _path_of_edge(node) -> tuple[int, list[str]] | None:
+    """(0 or -1, fields) of `.[0].a.b` and `.[-1].a.b`."""
+    names: list[str] = []
+    while node[0] == "index" and node[2][0] == "string" and node[2][1] is None and all(isinstance(p, str) for p in node[2][2]):
+        names.insert(0, "".join(node[2][2]))
+        node = node[1]
+    if not names or node[0] != "index" or node[1] != ("identity",):
+        return None
+    at = node[2]
+    if at == ("literal", 0):
+        return 0, names
+    return (-1, names) if at in (("literal", -1), ("negate", ("literal", 1))) else None
+
+
+def _text_of(v: Value) -> str:
+    """An expression as text, to tell equal ones."""
+    return str(v.column()._jc.toString()) if v.fields is None else "{" + ",".join(f"{k}:{_text_of(x)}" for k, x in v.fields.items()) + "}"
+
+
 def replace_state(s: State, **changes) -> State:
     out = replace(s, **changes)
     if getattr(s, "sorted", False):

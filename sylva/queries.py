@@ -84,7 +84,7 @@ QUERIES: dict[str, Query] = {
     "regex_scan_words": Query("documents", '[.[] | .text | scan("[0-9]+")] | group_by(length) | map({digits: (.[0] | length), n: length})',
         "SELECT CAST(length(w) AS BIGINT) AS digits, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS w FROM documents) GROUP BY 1"),
     "base64_uri_html": Query("pages", ".[] | {page_id, b: (.url | @base64), u: (.url | @uri), h: (.url | @html)}",
-        "SELECT page_id, base64(encode(url)) AS b, url_encode(url) AS u, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&quot;') AS h FROM pages"),
+        "SELECT page_id, base64(encode(url)) AS b, url_encode(url) AS u, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;') AS h FROM pages"),
     "csv_tsv_rows": Query("nation", ".[] | {c: ([.n_nationkey, .n_name] | @csv), t: ([.n_nationkey, .n_name] | @tsv)}",
         "SELECT n_nationkey || ',\"' || n_name || '\"' AS c, n_nationkey || chr(9) || n_name AS t FROM nation"),
     "math_unary": Query("customer", ".[] | {k: .c_custkey, r: (.c_acctbal | fabs | sqrt | . * 1000 | floor), c: (.c_acctbal | ceil), t: (.c_acctbal | trunc), o: (.c_acctbal | round)}",
