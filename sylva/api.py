@@ -126,6 +126,47 @@ def yq_documents(df: DataFrame, column: str, expression: str, input_format: str
     return _spread(df.select(*keep, F.col(column).cast("string").alias("__doc")), spread).mapInArrow(run, types + "value string, error string")
 
 
+def register(spark) -> None:
+    """SQL functions: jq(text, program) gives the outputs as an array of JSON texts, yq(text, expression, from, to) a text.
+
+    A document's fault gives null.
+    """
+
+    def jq_texts(texts, programs):
+        import pandas as pd
+
+        from sylva.functions.values import JqError, decode_all, encode
+        from sylva.operators.jq_eval import Program
+
+        compiled: dict[str, Program] = {}
+        out = []
+        for text, program in zip(texts, programs, strict=True):
+            run = compiled.get(program) or compiled.setdefault(program, Program(program, None))
+            try:
+                out.append(None if text is None else [encode(x) for v in decode_all(text) for x in run.run(v)])
+            except (JqError, *_FAULTS):
+                out.append(None)
+        return pd.Series(out)
+
+    def yq_text(texts, expressions, sources, targets):
+        import pandas as pd
+
+        from sylva.functions.values import JqError
+        from sylva.operators.yq_eval import yq
+        from sylva.sources.nodes import YqError
+
+        out = []
+        for text, expression, source, target in zip(texts, expressions, sources, targets, strict=True):
+            try:
+                out.append(None if text is None else yq(expression, text, source, target))
+            except (YqError, JqError, *_FAULTS):
+                out.append(None)
+        return pd.Series(out)
+
+    spark.udf.register("jq", F.pandas_udf(jq_texts, "array<string>"))
+    spark.udf.register("yq", F.pandas_udf(yq_text, "string"))
+
+
 def converted(df: DataFrame, column: str, input_format: str, output_format: str, keep: list[str] | None = None) -> DataFrame:
     """Each text of a column in another format."""
     return yq_documents(df, column, ".", input_format, output_format, keep)

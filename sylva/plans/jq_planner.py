@@ -946,12 +946,15 @@ class Planner:
 
     def met(self, test, s: State) -> State | None:
         """`select(IN($t[].k))`, `select(any($t[]; p))` and their negations: semi and anti joins with the table."""
-        wanted = True
-        while test[0] == "pipe" and test[2] == ("call", "not", []):
-            test, wanted = test[1], not wanted
-        value = s.value
-        if test[0] == "pipe" and test[2][0] == "call" and test[2][1] == "IN" and len(test[2][2]) == 1:
-            value, test = self.scalars.lower(test[1], s.value), test[2]
+        wanted, steps = True, _piped(test)
+        while len(steps) > 1 and steps[-1] == ("call", "not", []):
+            steps, wanted = steps[:-1], not wanted
+        test, value = steps[-1], s.value
+        if len(steps) > 1:
+            if test[0] != "call" or test[1] != "IN" or len(test[2]) != 1 or self.rows_of(test[2][0]) is None:
+                return None
+            for step in steps[:-1]:
+                value = self.scalars.lower(step, value)
         if test[0] != "call" or (test[1], len(test[2])) not in (("IN", 1), ("IN", 2), ("any", 2), ("all", 2)):
             return None
         name, args = test[1], test[2]
@@ -1598,6 +1601,11 @@ def _path_of_edge(node) -> tuple[int, list[str]] | None:
     return (-1, names) if at in (("literal", -1), ("negate", ("literal", 1))) else None
 
 
+def _piped(node) -> list:
+    """The steps of a pipeline."""
+    return [*_piped(node[1]), *_piped(node[2])] if node[0] == "pipe" else [node]
+
+
 def _text_of(v: Value) -> str:
     """An expression as text, to tell equal ones."""
     return str(v.column()._jc.toString()) if v.fields is None else "{" + ",".join(f"{k}:{_text_of(x)}" for k, x in v.fields.items()) + "}"

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva import document_queries
 from sylva.api import jq, jq_documents, sort_keys, yq_documents
 from sylva.sources.readers import events
 
@@ -31,6 +32,7 @@ class Query:
 
 _ORD = ("o_orderkey",)
 _EV = ("event_id",)
+_ORDERS = (("orders", "orders", "."),)
 
 QUERIES: dict[str, Query] = {
     # ---- groups
@@ -104,11 +106,25 @@ QUERIES: dict[str, Query] = {
         "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings", rounded=("norm",)),
     "embedding_reduce": Query("embeddings", ".[] | {vec_id, s: (reduce .embedding[] as $x (0; . + $x))}",
         "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS s FROM embeddings", rounded=("s",)),
-    "contains_inside": Query("documents", '.[] | {doc_id, has: (.text | contains("the ")), in_: ("en" | inside("en,de"))} | {doc_id, has}',
-        "SELECT doc_id, contains(text, 'the ') AS has FROM documents"),
+    "contains_inside": Query("documents", '.[] | {doc_id, has: (.text | contains("the ")), in_: ((.lang // "") | inside("en,de"))}',
+        "SELECT doc_id, contains(text, 'the ') AS has, contains('en,de', coalesce(lang, '')) AS in_ FROM documents"),
+    "unary_minus_abs": Query("customer", ".[] | {k: .c_custkey, neg: (-.c_acctbal), mag: (.c_acctbal | abs)}", "SELECT c_custkey AS k, -c_acctbal AS neg, abs(c_acctbal) AS mag FROM customer"),
+    "trim_text": Query("part", '.[] | {k: .p_partkey, t: ("  " + .p_name + " " | trim), l: ("  " + .p_name | ltrim), r: (.p_name + "  " | rtrim)}',
+        "SELECT p_partkey AS k, trim(p_name) AS t, ltrim(p_name) AS l, rtrim(p_name) AS r FROM part"),
+    "utf8_bytes": Query("documents", ".[] | {doc_id, bytes: (.text | utf8bytelength), chars: (.text | length)}",
+        "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, length(text) AS chars FROM documents"),
+    "keys_of_rows": Query("region", '.[] | {r: .r_regionkey, ks: (keys | join(",")), n: length}', "SELECT r_regionkey AS r, 'r_name,r_regionkey' AS ks, 2 AS n FROM region"),
+    "math_transcendental": Query("part", ".[] | {k: .p_partkey, a: (.p_size | log), b: (.p_size | exp10 | log10), c: (.p_size | sin), d: (.p_size / 100 | atan), e: (.p_size | cbrt)}",
+        "SELECT p_partkey AS k, round(ln(p_size), 4) AS a, CAST(p_size AS DOUBLE) AS b, round(sin(p_size), 4) AS c, round(atan(p_size / 100), 4) AS d, round(cbrt(p_size), 4) AS e FROM part", rounded=("a", "b", "c", "d", "e")),
+    "array_reverse_unique": Query("embeddings", ".[] | {vec_id, tail: (.embedding | reverse | .[0]), kinds: (.embedding | map(. > 0) | unique | length)}",
+        "SELECT vec_id, embedding[-1] AS tail, CAST(len(list_distinct(list_transform(embedding, lambda x: x > 0))) AS BIGINT) AS kinds FROM embeddings"),
+    "gmtime_parts": Query("orders", ".[] | (.o_orderdate | fromdate | gmtime) as $t | {o_orderkey, y: $t[0], m: $t[1], w: $t[6], yd: $t[7]}",
+        "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) - 1 AS m, dayofweek(o_orderdate) AS w, dayofyear(o_orderdate) - 1 AS yd FROM orders"),
+    "group_edges": Query("orders", "group_by(.o_custkey) | map({c: .[0].o_custkey, first: .[0].o_orderkey, last: .[-1].o_orderkey, status: .[0].o_orderstatus})",
+        "SELECT o_custkey AS c, min(o_orderkey) AS first, max(o_orderkey) AS last, arg_min(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1", order=_ORD),
     "has_in": Query("embeddings", ".[] | {vec_id, far: (.embedding | has(100)), near: (.embedding | has(3))}",
         "SELECT vec_id, len(embedding) > 100 AS far, len(embedding) > 3 AS near FROM embeddings"),
-    "explode_implode": Query("nation", ".[] | {n_name, first: (.n_name | explode | .[0]), total: (.n_name | explode | add)}",
+    "explode_codes": Query("nation", ".[] | {n_name, first: (.n_name | explode | .[0]), total: (.n_name | explode | add)}",
         "SELECT n_name, CAST(unicode(n_name) AS BIGINT) AS first, CAST(list_sum(list_transform(string_split(n_name, ''), lambda c: unicode(c))) AS BIGINT) AS total FROM nation"),
     "assignment_update": Query("customer", '.[] | .c_acctbal |= floor | .c_name = "x" | .c_nationkey += 1 | del(.c_mktsegment)',
         "SELECT c_custkey, 'x' AS c_name, c_nationkey + 1 AS c_nationkey, floor(c_acctbal) AS c_acctbal FROM customer"),
@@ -126,7 +142,7 @@ QUERIES: dict[str, Query] = {
         "SELECT vec_id AS id, embedding[1] AS a, embedding[2] AS b FROM embeddings"),
     "stream_select": Query("events", 'select(.event_type == "click" and .value > 50) | {event_id, value}',
         "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 50", mode="stream"),
-    "not_in_anti": Query("orders", '.[] | select(.o_orderstatus | IN("O", "F") | not) | {o_orderkey}', "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'F')"),
+    "not_in_list": Query("orders", '.[] | select(.o_orderstatus | IN("O", "F") | not) | {o_orderkey}', "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'F')"),
     "array_any_all": Query("embeddings", ".[] | {vec_id, some: (.embedding | any(. > 0.3)), every: (.embedding | all(. < 0.3))}",
         "SELECT vec_id, len(list_filter(embedding, lambda x: x > CAST(0.3 AS DOUBLE))) > 0 AS some, len(list_filter(embedding, lambda x: x < CAST(0.3 AS DOUBLE))) = len(embedding) AS every FROM embeddings"),
     "array_minus": Query("part", '.[] | {k: .p_partkey, rest: ((.p_type | split(" ")) - ["STANDARD", "STEEL"] | join("+"))}',
@@ -163,14 +179,25 @@ QUERIES: dict[str, Query] = {
         "SELECT r_regionkey AS k, CAST(sum(r_regionkey) OVER (ORDER BY r_regionkey) AS BIGINT) AS upto FROM region", order=("r_regionkey",)),
     "array_slice_sort": Query("embeddings", ".[] | {vec_id, low: (.embedding | min), high: (.embedding | max), mid: (.embedding | sort | .[32])}",
         "SELECT vec_id, list_min(embedding) AS low, list_max(embedding) AS high, list_sort(embedding)[33] AS mid FROM embeddings"),
-    "combinations_generators": Query("region", ".[] | {r: .r_regionkey, k: range(3)}", "SELECT r_regionkey AS r, k FROM region, range(3) t(k)"),
+    "range_generators": Query("region", ".[] | {r: .r_regionkey, k: range(3)}", "SELECT r_regionkey AS r, k FROM region, range(3) t(k)"),
     # ---- joins
     "index_join_lookup": Query("customer", "JOIN($nations; .c_nationkey | tostring) | .[] | {k: .row.c_custkey, nation: .match.n_name}",
         "SELECT c_custkey AS k, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", lookups=(("nations", "nation", "INDEX(.n_nationkey)"),)),
     "join_left_missing": Query("documents", "JOIN($labels; .doc_id | tostring) | .[] | {doc_id: .row.doc_id, q: (.match.quality // -1)}",
         "SELECT d.doc_id, coalesce(l.quality, -1) AS q FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, rowid_) AS quality FROM (SELECT *, row_number() OVER () AS rowid_ FROM labels) GROUP BY 1) l USING (doc_id)", lookups=(("labels", "labels", "INDEX(.doc_id)"),)),
-    "in_semi": Query("orders", ".[] | select(.o_orderpriority | IN(\"1-URGENT\", \"2-HIGH\")) | {o_orderkey}", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
-    "cross_theta_join": Query("nation", ".[] as $n | $regions[] as $r | select($n.n_regionkey == $r.r_regionkey) | {n: $n.n_name, r: $r.r_name}",
+    "in_list": Query("orders", ".[] | select(.o_orderpriority | IN(\"1-URGENT\", \"2-HIGH\")) | {o_orderkey}", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "in_semi": Query("customer", ".[] | select(.c_custkey | IN($orders[].o_custkey)) | {c_custkey}", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", lookups=_ORDERS),
+    "not_in_anti": Query("customer", ".[] | select(.c_custkey | IN($orders[].o_custkey) | not) | {c_custkey}",
+        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lookups=_ORDERS),
+    "any_semi_correlated": Query("customer", ".[] as $c | $c | select(any($orders[]; .o_custkey == $c.c_custkey and .o_totalprice > $c.c_acctbal * 30)) | {c_custkey, c_name}",
+        "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30)", lookups=_ORDERS),
+    "all_anti_correlated": Query("nation", ".[] as $n | $n | select(all($suppliers[]; .s_nationkey != $n.n_nationkey or .s_acctbal > 0)) | {n_name}",
+        "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal <= 0)", lookups=(("suppliers", "supplier", "."),)),
+    "semi_of_selected": Query("part", ".[] | select(IN(.p_brand; $brands[].b)) | {p_partkey}",
+        "SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 48)", lookups=(("brands", "part", ".[] | select(.p_size > 48) | {b: .p_brand}"),)),
+    "cross_theta_join": Query("nation", ".[] as $n | $regions[] as $r | select($n.n_regionkey < $r.r_regionkey) | {n: $n.n_name, r: $r.r_name}",
+        "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey < r_regionkey", lookups=(("regions", "region", "."),)),
+    "cross_equi_join": Query("nation", ".[] as $n | $regions[] as $r | select($n.n_regionkey == $r.r_regionkey) | {n: $n.n_name, r: $r.r_name}",
         "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey", lookups=(("regions", "region", "."),)),
     "join_then_group": Query("customer", '[JOIN($nations; .c_nationkey | tostring) | .[] | {nation: .match.n_name, bal: .row.c_acctbal}] | group_by(.nation) | map({nation: .[0].nation, n: length, bal: (map(.bal) | add)})',
         "SELECT n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", lookups=(("nations", "nation", "INDEX(.n_nationkey)"),)),
@@ -244,8 +271,8 @@ _EVALUATED = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{name: _run(name, q) for name, q in QUERIES.items()}, **{name: f for name, (f, _) in _EVALUATED.items()}}
+    return {**{name: _run(name, q) for name, q in QUERIES.items()}, **{name: f for name, (f, _) in _EVALUATED.items()}, **document_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{name: q.sql for name, q in QUERIES.items() if q.sql}, **{name: sql for name, (_, sql) in _EVALUATED.items()}}
+    return {**{name: q.sql for name, q in QUERIES.items() if q.sql}, **{name: sql for name, (_, sql) in _EVALUATED.items()}, **document_queries.oracle_sql()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +19,8 @@ def filtered(stream: DataFrame, program: str, column: str = "doc", keep: list[st
 
 
 def running(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """A running sum of ``value`` by ``key``, as foreach gives over each key's rows in order of arrival."""
-    import pandas as pd
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        total, n = state.get if state.exists else (0.0, 0)
-        for batch in batches:
-            total += float(batch["v"].sum())
-            n += len(batch)
-        state.update((total, n))
-        yield pd.DataFrame({"key": [name[0]], "total": [total], "n": [n]})
-
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, total double, n long", "total double, n long", "update", "NoTimeout")
+    """Running sums of ``value`` by ``key`` in update mode: with each batch, the new total and count of the keys it holds."""
+    return stream.groupBy(F.col(key).cast("string").alias("key")).agg(F.sum(F.col(value).cast("double")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def windowed(stream: DataFrame, ts: str, length: str, late: str, keys: list[str], aggregates: dict) -> DataFrame:

@@ -92,6 +92,60 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.json_sequence(spark, f"{tmp_path}/s.seq").count() == 2
 
 
+BAD = ["[" * 30_000, "a: " + "[" * 30_000, "{bad", "x", None, "", "<a>" * 20_000, "YQ=", "é\x00\ud7ff", "a = [[[", "=", "%zz", "k: *nowhere"]
+
+
+@pytest.mark.parametrize("format_", ["yaml", "json", "csv", "tsv", "xml", "props", "toml", "hcl", "lua", "base64", "base64url", "uri", "kyaml"])
+def test_no_document_ends_a_job(spark, format_):
+    df = spark.createDataFrame(list(enumerate([*BAD, "{}"])), "id int, doc string")
+    got = api.yq_documents(df, "doc", ".", format_, "json", keep=["id"]).collect()
+    assert len(got) == len(BAD) + 1 and all((r.value is None) != (r.error is None) for r in got)
+
+
+def test_no_document_ends_a_filter(spark):
+    df = spark.createDataFrame(list(enumerate([*BAD, '{"a": 1}'])), "id int, doc string")
+    got = {r.id: r for r in api.jq_documents(df, "doc", ".a", keep=["id"]).collect()}
+    assert got[len(BAD)].value == "1" and all(r.error for k, r in got.items() if k < len(BAD))
+    many = api.jq_documents(df.filter(f"id = {len(BAD)}"), "doc", "range(20000)", keep=["id"])
+    assert sorted((r.position, r.value) for r in many.collect())[-1] == (19999, "19999") and many.count() == 20000
+
+
+def test_sql_functions(spark):
+    api.register(spark)
+    (row,) = spark.sql("""SELECT jq('{"a":[1,2]}', '.a[]') AS x, jq('[', '.') AS bad, yq('a: 1', '.a += 1', 'yaml', 'json') AS y""").collect()
+    assert row.x == ["1", "2"] and row.bad is None and "2" in row.y
+
+
+def test_group_plans_read_what_they_use(spark, sf):
+    plan = explained(queries.queries()["group_multi_key"](spark, sf))
+    assert "l_orderkey" not in plan and "SortAggregate" not in plan and "l_comment" not in plan
+    plan = explained(api.jq(spark.read.parquet(f"{sf}/lineitem.parquet"), "unique_by(.l_partkey) | map({l_partkey, l_tax})"))
+    assert "l_shipdate" not in plan and "l_quantity" not in plan
+
+
+def test_semi_and_anti_joins_against_the_evaluator(spark):
+    left, right = [(1, "a"), (2, None), (3, "b"), (4, "c")], [("a", 2), (None, 9), ("a", 0)]
+    a, b = spark.createDataFrame(left, "id int, s string"), spark.createDataFrame(right, "s string, n int")
+    rows, table = [{"id": i, "s": s} for i, s in left], [{"s": s, "n": n} for s, n in right]
+    for program in ("select(.s | IN($t[].s))", "select(.s | IN($t[].s) | not)", "select(IN(.s; $t[].s))", "select(any($t[]; .n > 5))", "select(all($t[]; .n > 5))"):
+        got = sorted(r.id for r in api.jq(a, f".[] | {program} | {{id}}", variables={"t": b}).collect())
+        assert got == sorted(x["id"] for x in evaluate(f".[] | {program} | {{id}}", rows, variables={"t": table})), program
+
+
+def test_streaming_sums_and_windows(spark, tmp_path):
+    from sylva import streaming
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"k":"x","v":1,"t":"2024-01-01T00:00:10Z"}\n{"k":"y","v":2,"t":"2024-01-01T00:00:20Z"}\n{"k":"x","v":3,"t":"2024-01-01T00:01:10Z"}\n')
+    rows = spark.readStream.schema("k string, v double, t timestamp").json(f"{tmp_path}/in")
+    for name, df, mode in (("sums", streaming.running(rows, "k", "v"), "update"), ("windows", streaming.windowed(rows, "t", "1 minute", "10 minutes", ["k"], {"n": F.count(F.lit(1))}), "update")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted((r.key, r.total, r.n) for r in spark.sql("SELECT * FROM sums").collect()) == [("x", 4.0, 2), ("y", 2.0, 1)]
+    assert spark.sql("SELECT k, n FROM windows").count() == 3
+
+
 def test_streaming_filter(spark, tmp_path):
     from sylva import streaming
 
