@@ -75,7 +75,7 @@ QUERIES: dict[str, DocumentQuery] = {
     "until_limit": DocumentQuery(".a | until(. >= 25; . + 5)", f"CASE WHEN {_K} >= 25 THEN {_K} ELSE {_K} + 5 * CAST(ceil((25 - {_K}) / 5.0) AS BIGINT) END"),
     "repeat_limit": DocumentQuery(".a | [limit(3; repeat(. + 1))] | length", "3"),
     "try_catch_error": DocumentQuery('try (if .a % 2 == 0 then error("even") else "odd" end) catch .', f"CASE WHEN {_K} % 2 = 0 THEN 'even' ELSE 'odd' END", "string"),
-    "optional_error": DocumentQuery("[.a[]?, .b.c] | length", "1"),
+    "error_suppressed": DocumentQuery("[.a[]?, .b.c] | length", "1"),
     "destructuring_alternatives": DocumentQuery(".b as [$x] ?// {c: $x} | $x", _R),
     "reduce_object": DocumentQuery('reduce range(.a) as $i ({}; .["k\\($i % 3)"] += 1) | length', f"least(3, {_K})"),
     "foreach_running": DocumentQuery("last(foreach range(.a) as $i (0; . + $i)) // 0", f"{_K} * ({_K} - 1) // 2"),
