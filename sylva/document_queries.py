@@ -105,6 +105,7 @@ QUERIES: dict[str, DocumentQuery] = {
     "inside_contains": DocumentQuery('[([.a] | inside([range(10)])), (.n | contains("AN"))] | map(tostring) | join(",")', f"CAST({_K} < 10 AS VARCHAR) || ',' || CAST(contains({_N}, 'AN') AS VARCHAR)", "string"),
     "has_keys": DocumentQuery('[has("a", "z"), (keys | join("")), (keys_unsorted | length)] | map(tostring) | join(",")', "'true,false,abn,3'", "string"),
     "entries_round_trip": DocumentQuery('to_entries | from_entries | with_entries(.key |= ascii_upcase) | .A + .B.c', f"{_K} + {_R}"),
+    "entries_of_array": DocumentQuery("[.a, .b.c, 3] | to_entries | map(.key * .value) | add", f"{_R} + 6"),
     "type_filters": DocumentQuery("[.[] | numbers, strings, objects, arrays, booleans, nulls, iterables] | length", "4"),
     "object_merge": DocumentQuery("({x: 1, y: {z: 2}} * {y: {w: .a}}) | [.. | numbers] | add", f"3 + {_K}"),
     # ---- strings

@@ -11,6 +11,7 @@ order) extended by positions of exploded arrays; sorts and groups replace it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -879,6 +880,9 @@ def _type_of(v: Value) -> T.DataType:
 
 # ---- the relational part
 
+#: Buckets of a running sum at most (else spark.sql.shuffle.partitions of them), and sampled places to each.
+MOST_BUCKETS, SAMPLED = 2_000, 20
+
 
 @dataclass
 class State:
@@ -897,6 +901,7 @@ class Planner:
         self.tables = {"$" + k: v for k, v in (variables or {}).items() if isinstance(v, DataFrame)}
         self.scalars = Scalars({"$" + k: literal(v) for k, v in (variables or {}).items() if not isinstance(v, DataFrame)}, {})
         self.input, self.order = df, order
+        self.scan_order: str | None = None  # the column of scan order, which two readings of a table may number differently
         self.n = 0
 
     def fresh(self, name: str) -> str:
@@ -915,6 +920,7 @@ class Planner:
             order = self.order
         else:
             order = [self.fresh("ord")]
+            self.scan_order = order[0]
             df = df.withColumn(order[0], F.monotonically_increasing_id())
         row = Value(None, None, {f.name: typed(F.col(f"`{f.name}`"), f.dataType) for f in self.input.schema.fields})
         state = State(df, row, order, "array" if mode == "slurp" else "stream")
@@ -1145,6 +1151,55 @@ class Planner:
             df = df.offset(skip)
         return replace_state(s, df=df.limit(n) if n is not None else df)
 
+    def running(self, s: State, term: Column, name: str) -> State:
+        """Add ``name``: the sum of ``term`` over the array up to each row, without one task that sees every row.
+
+        Boundaries from a sample of the order (the rows of smallest hash, the same ones whenever it is taken) deal the rows
+        to buckets, rows of equal place to one; sums run within each bucket, and the totals of the buckets before it, a row a bucket, are broadcast.
+        Rows in scan order alone are one window, as only a single reading numbers them alike.
+        """
+        down = ["DESC" in str(c._jc.toString()) if not isinstance(c, str) else False for c in s.order]
+        named = [str(_bare(c)._jc.toString()).strip("`") for c in s.order]
+        same = next((k for k, d in enumerate(down) if d != down[0] or named[k] == self.scan_order), len(down))
+        if not same:
+            w = Window.orderBy(*s.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return replace_state(s, df=s.df.withColumn(name, F.coalesce(F.sum(term).over(w), F.lit(0))))
+        key, bucket, rest = self.fresh("place"), self.fresh("bucket"), self.fresh("before")
+        df = s.df.withColumn(key, F.struct(*[_bare(c).alias(f"c{k}") for k, c in enumerate(s.order[:same])]))
+        n = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        width = math.isqrt(2 * n) + 1
+        sample = df.select(key).orderBy(F.xxhash64(key)).limit(n * SAMPLED).agg(F.sort_array(F.collect_set(key), not down[0]).alias("a"))
+        bounds = sample.select(F.expr(f"filter(a, (x, i) -> i % greatest(size(a) DIV {n}, 1) = 0)").alias("b"))
+        levels = bounds.select(F.expr(f"transform(sequence(0, greatest(size(b) - 1, 0), {width}), i -> slice(b, i + 1, {width}))").alias("l"))
+        sign = ">=" if down[0] else "<="
+        upto = lambda among: f"size(filter({among}, x -> x {sign} `{key}`))"
+        held = self.fresh("levels")
+        dealt = df.withColumn(held, levels.scalar()).withColumn(rest, F.expr(upto(f"transform(`{held}`, y -> get(y, 0))")))
+        at = F.when(F.col(rest) == 0, F.lit(0)).otherwise((F.col(rest) - 1) * width + F.expr(upto(f"get(`{held}`, `{rest}` - 1)")))
+        dealt = dealt.withColumn(bucket, at).drop(held, rest, key).withColumn(name, F.coalesce(term, F.lit(0)))
+        before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        totals = dealt.groupBy(bucket).agg(F.sum(name).alias(rest)).select(bucket, F.coalesce(F.sum(rest).over(before), F.lit(0)).alias(rest))
+        within = Window.partitionBy(bucket).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = dealt.join(F.broadcast(totals), bucket).withColumn(name, F.sum(name).over(within) + F.col(rest))
+        return replace_state(s, df=out.drop(bucket, rest))
+
+    def numbered(self, s: State, name: str) -> State:
+        return self.running(s, F.lit(1).cast("long"), name)
+
+    def _without_first(self, s: State, n: int) -> State:
+        """All but the first ``n`` rows."""
+        at = self.fresh("at")
+        out = self.numbered(s, at)
+        out = replace_state(out, df=out.df.filter(F.col(at) > n).drop(at))
+        out.sorted = True
+        return out
+
+    def array_to_entries_0(self, s):
+        """Rows numbered from 0 in the array's order."""
+        at = self.fresh("at")
+        out = self.numbered(s, at)
+        return replace_state(out, value=Value(None, None, {"key": Value(F.col(at) - 1, T.LongType()), "value": s.value}))
+
     def sliced(self, s: State, lo, hi) -> State:
         a, b = (None if x is None else self.scalars.lower(x, literal(None)).literal for x in (lo, hi))
         if (a or 0) < 0 and b is None:
@@ -1153,8 +1208,16 @@ class Planner:
             kept = replace_state(out, order=s.order)
             kept.sorted = True
             return kept
-        if (a or 0) < 0 or (b is not None and b < 0):
-            raise NotPlanned("slices from the end")
+        if (a or 0) >= 0 and b is None:
+            return self._without_first(s, a or 0) if a else s
+        if b < 0:
+            back = replace_state(s, order=[_descending(c) for c in s.order])
+            out = self._limited(back, max(0, b - a), -b) if (a or 0) < 0 else self._without_first(back, -b)
+            out = replace_state(out, order=s.order)
+            out.sorted = True
+            return self._without_first(out, a) if (a or 0) > 0 else out
+        if (a or 0) < 0:
+            raise NotPlanned("slices from the end to a place from the start")
         return self._limited(s, None if b is None else max(0, b - (a or 0)), a or 0)
 
     def element(self, s: State, key) -> State:
@@ -1184,7 +1247,7 @@ class Planner:
         return replace_state(self._limited(self.steps(f, s), self.scalars.lower(n, literal(None)).literal), form="stream")
 
     def array_skip_2(self, s, n, f):
-        return replace_state(self._limited(self.steps(f, s), None, self.scalars.lower(n, literal(None)).literal), form="stream")
+        return replace_state(self._without_first(self.steps(f, s), self.scalars.lower(n, literal(None)).literal), form="stream")
 
     def array_first_1(self, s, f):
         return replace_state(self._limited(self.steps(f, s), 1), form="stream")
@@ -1289,10 +1352,9 @@ class Planner:
         if word == "reduce":
             df = inner.df.agg((F.coalesce(F.sum(term.col), F.lit(0)) + first.col).cast(t).alias("__sum"))
             return State(df, Value(F.col("__sum"), t), [], "single")
-        w = Window.orderBy(*inner.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         total = self.fresh("total")
-        df = inner.df.withColumn(total, (F.coalesce(F.sum(term.col).over(w), F.lit(0)) + first.col).cast(t))
-        out = replace_state(inner, df=df, value=Value(F.col(total), t))
+        out = self.running(inner, term.col, total)
+        out = replace_state(out, value=Value((F.col(total) + first.col).cast(t), t))
         if rest:
             out = replace_state(out, value=self.scalars.with_var(name, inner.value).lower(rest[0], out.value))
         return replace_state(out, form="stream")

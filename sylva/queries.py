@@ -177,6 +177,14 @@ QUERIES: dict[str, Query] = {
     "reduce_sum": Query("orders", "reduce .[] as $o (0; . + $o.o_totalprice) | {total: .}", "SELECT round(sum(o_totalprice), 2) AS total FROM orders"),
     "running_total_foreach": Query("region", "foreach .[] as $r (0; . + $r.r_regionkey; {k: $r.r_regionkey, upto: .})",
         "SELECT r_regionkey AS k, CAST(sum(r_regionkey) OVER (ORDER BY r_regionkey) AS BIGINT) AS upto FROM region", order=("r_regionkey",)),
+    "running_total_customers": Query("customer", "foreach .[] as $c (0; . + $c.c_nationkey; {k: $c.c_custkey, upto: .})",
+        "SELECT c_custkey AS k, CAST(sum(c_nationkey) OVER (ORDER BY c_custkey) AS BIGINT) AS upto FROM customer", order=("c_custkey",)),
+    "rank_rows": Query("orders", "sort_by(.o_totalprice) | to_entries | map({rank: .key, k: .value.o_orderkey})",
+        "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS rank, o_orderkey AS k FROM orders", order=_ORD),
+    "slice_from": Query("orders", ".[100:] | map({o_orderkey})", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100", order=_ORD),
+    "slice_between": Query("orders", "sort_by(-.o_totalprice) | .[100:-200] | map({o_orderkey})",
+        "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r > 100 AND r <= n - 200", order=_ORD),
+    "slice_from_end": Query("orders", ".[-8:-3] | map({o_orderkey})", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5 OFFSET 3)", order=_ORD),
     "array_slice_sort": Query("embeddings", ".[] | {vec_id, low: (.embedding | min), high: (.embedding | max), mid: (.embedding | sort | .[32])}",
         "SELECT vec_id, list_min(embedding) AS low, list_max(embedding) AS high, list_sort(embedding)[33] AS mid FROM embeddings"),
     "range_generators": Query("region", ".[] | {r: .r_regionkey, k: range(3)}", "SELECT r_regionkey AS r, k FROM region, range(3) t(k)"),

@@ -123,6 +123,23 @@ def test_group_plans_read_what_they_use(spark, sf):
     assert "l_shipdate" not in plan and "l_quantity" not in plan
 
 
+def test_running_sums_and_places_against_the_evaluator(spark):
+    rows = [(k, (k * 7919) % 13, None if k % 11 == 0 else (k * 31) % 17) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id int, g int, v int").repartition(5)
+    data = [{"id": a, "g": b, "v": c} for a, b, c in rows]
+    for program in ("[foreach .[] as $r (5; . + $r.g; {k: $r.id, t: .})]", "map(.id) | .[700:]", "map(.id) | .[3:-5]", "map(.id) | .[-9:-5]", "map(.id) | .[:-1490]", "sort_by(.v, .id) | to_entries | map({k: .key, id: .value.id})", "sort_by(.g) | reverse | to_entries | map({k: .key, id: .value.id})", "sort_by(-.id) | .[1490:] | map(.id)"):
+        got = [r.asDict(True) for r in api.jq(df, program, order=["id"]).collect()]
+        got = [r["value"] if list(r) == ["value"] else r for r in got]
+        assert sorted(map(str, got)) == sorted(map(str, evaluate(program, data)[0])), program
+    plain = spark.createDataFrame(rows, "id int, g int, v int").coalesce(1)
+    got = [r.asDict() for r in api.jq(plain, "sort_by(.g) | to_entries | map({k: .key, id: .value.id})").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, evaluate("sort_by(.g) | to_entries | map({k: .key, id: .value.id})", data)[0]))
+    empty = api.jq(df.limit(0), "to_entries | map({k: .key, id: .value.id})", order=["id"])
+    assert empty.count() == 0
+    plan = explained(api.jq(df, "[foreach .[] as $r (0; . + $r.g)]", order=["id"]))
+    assert "hashpartitioning(__bucket" in plan and plan.count("SinglePartition") == 1  # the totals, a row a bucket
+
+
 def test_semi_and_anti_joins_against_the_evaluator(spark):
     left, right = [(1, "a"), (2, None), (3, "b"), (4, "c")], [("a", 2), (None, 9), ("a", 0)]
     a, b = spark.createDataFrame(left, "id int, s string"), spark.createDataFrame(right, "s string, n int")
