@@ -102,8 +102,11 @@ def sort_keys(df: DataFrame, column: str, name: str = "sort_key") -> DataFrame:
     return df.withColumn(name, F.pandas_udf(key, "binary")(F.col(column)))
 
 
-def yq_documents(df: DataFrame, column: str, expression: str, input_format: str = "yaml", output_format: str = "yaml", keep: list[str] | None = None, spread: int = 0) -> DataFrame:
-    """Evaluate a YAML expression on each text of a column: printed matches in ``value``; errors go to ``error``."""
+def yq_documents(df: DataFrame, column: str, expression: str, input_format: str = "yaml", output_format: str = "yaml", keep: list[str] | None = None, spread: int = 0, options: dict | None = None) -> DataFrame:
+    """Evaluate a YAML expression on each text of a column: printed matches in ``value``; errors go to ``error``.
+
+    ``options``: those of the formats and the language by their names on the command line, as {"csv-separator": ";"}.
+    """
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ def yq_documents(df: DataFrame, column: str, expression: str, input_format: str
             out, errors = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 try:
-                    out.append(yq(expression, text or "", input_format, output_format))
+                    out.append(yq(expression, text or "", input_format, output_format, options))
                     errors.append(None)
                 except (YqError, JqError, *_FAULTS) as e:
                     out.append(None)

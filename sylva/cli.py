@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 import sys
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from sylva.operators.jq_eval import Host, Program
 from sylva.operators.yq_eval import Context, render, run
 from sylva.plans.jq_parser import SyntaxFault
 from sylva.sources import codecs
-from sylva.sources.nodes import YqError
+from sylva.sources.nodes import MERGE_TO_SPEC, YqError
 
 _COLOURS = {"null": "0;90", "false": "0;39", "true": "0;39", "number": "0;39", "string": "0;32", "array": "1;39", "object": "1;39", "key": "34;1"}
 
@@ -47,6 +48,32 @@ class _Usage(Exception):
     pass
 
 
+_MARKS = re.compile(r'["\\{}\[\]]')
+
+
+def segments(lines: Iterator[str]) -> Iterator[str]:
+    """A text's lines joined so that no value is cut: each segment is given on once its brackets and strings are closed."""
+    held, depth, quoted = [], 0, False
+    for line in lines:
+        held.append(line)
+        skip = -1
+        for m in _MARKS.finditer(line):
+            c, at = m[0], m.start()
+            if at == skip:
+                continue
+            if c == "\\":
+                skip = at + 1 if quoted else -1
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted:
+                depth += 1 if c in "{[" else -1
+        if depth <= 0 and not quoted:
+            yield "".join(held)
+            held, depth = [], 0
+    if held:
+        yield "".join(held)
+
+
 def jq_main(args: list[str], stdin=None, stdout=None, stderr=None) -> int:
     """Exit status: 0, with -e 1 or 4 by the last output, 2 usage, 3 a program that cannot be read, 5 an error."""
     stdin, stdout, stderr = stdin or sys.stdin, stdout or sys.stdout, stderr or sys.stderr
@@ -115,24 +142,30 @@ def jq_main(args: list[str], stdin=None, stdout=None, stderr=None) -> int:
     if "compact-output" in flags:
         indent = None
 
-    def texts() -> Iterator[tuple[str | None, str]]:
+    def counted(lines: Iterator[str]) -> Iterator[str]:
+        for line in lines:
+            host.line += line.endswith("\n")
+            yield line
+
+    def texts() -> Iterator[tuple[str | None, Iterator[str]]]:
         for name in files or [None]:
+            host.line = 0
             if name is None:
-                yield None, stdin.read()
+                yield None, counted(iter(stdin))
             else:
                 with open(name, encoding="utf-8", errors="replace") as f:
-                    yield name, f.read()
+                    yield name, counted(f)
 
     host = Host(environment=dict(os.environ), libraries=libraries, data=data)
 
     def inputs() -> Iterator:
         everything: list = []
-        for name, text in texts():
+        for name, lines in texts():
             host.filename = name
             if "raw-input" in flags:
-                found = [text] if "slurp" in flags else text.splitlines()
+                found = lines if "slurp" in flags else (line.removesuffix("\n") for line in lines)
             else:
-                found = decode_all(text)
+                found = (v for text in segments(lines) for v in decode_all(text))
                 if "stream" in flags or "stream-errors" in flags:
                     found = (e for v in found for e in stream_events(v))
             if "slurp" in flags:
@@ -192,34 +225,74 @@ def jq_main(args: list[str], stdin=None, stdout=None, stderr=None) -> int:
     return status
 
 
+#: Flags of the command line that take a text, those that are on or off, and short names.
+_YQ_TEXTS = set("csv-separator expression from-file front-matter indent input-format lua-prefix lua-suffix output-format properties-separator shell-key-separator split-exp split-exp-file xml-attribute-prefix xml-content-name xml-directive-name xml-proc-inst-prefix".split())
+_YQ_SWITCHES = set("colors csv-auto-parse exit-status header-preprocess help inplace lua-globals lua-unquoted no-colors no-doc nul-output null-input prettyPrint properties-array-brackets security-disable-env-ops security-disable-file-ops security-enable-system-operator string-interpolation toyaml tojson tsv-auto-parse unwrapScalar verbose version xml-keep-namespace xml-raw-token xml-skip-directives xml-skip-proc-inst xml-strict-mode yaml-fix-merge-anchor-to-spec".split())
+_YQ_SHORT = {"C": "colors", "e": "exit-status", "f": "front-matter", "h": "help", "I": "indent", "i": "inplace", "p": "input-format", "M": "no-colors", "N": "no-doc", "0": "nul-output", "n": "null-input", "o": "output-format", "P": "prettyPrint", "s": "split-exp", "y": "toyaml", "j": "tojson", "r": "unwrapScalar", "v": "verbose", "V": "version"}
+
+
+def _set(options: dict, name: str, value: str | None, rest: list[str], shown: str) -> None:
+    """Put a flag of yq into ``options``; a text may be the next argument."""
+    if name in _YQ_TEXTS:
+        if value is None and not rest:
+            raise _Usage(f"flag needs an argument: {shown}")
+        options[name] = rest.pop(0) if value is None else value
+    elif name in _YQ_SWITCHES:
+        if value not in (None, "true", "false", "1", "0", "t", "f"):
+            raise _Usage(f"invalid argument {value!r} for {shown!r}")
+        options[name] = value in (None, "true", "1", "t")
+    else:
+        raise _Usage(f"unknown flag: {shown}")
+
+
 def yq_main(args: list[str], stdin=None, stdout=None, stderr=None) -> int:
     stdin, stdout, stderr = stdin or sys.stdin, stdout or sys.stdout, stderr or sys.stderr
-    options = {"p": "auto", "o": "auto", "I": "2"}
-    flags: set[str] = set()
+    options: dict = {"input-format": "auto", "output-format": "auto", "indent": "2"}
     plain: list[str] = []
     rest = list(args)
     all_ = bool(rest) and rest[0] in ("eval-all", "ea")
     if rest and rest[0] in ("eval", "e", "eval-all", "ea"):
         rest.pop(0)
-    long = {"input-format": "p", "output-format": "o", "indent": "I", "front-matter": "f", "split-exp": "s", "inplace": "i", "null-input": "n", "no-doc": "N", "prettyPrint": "P", "unwrapScalar": "r", "nul-output": "0", "exit-status": "e", "expression": "E", "tojson": "j", "no-colors": "M", "colors": "C", "security-enable-env-ops": "env", "security-enable-file-ops": "file"}
-    while rest:
-        a = rest.pop(0)
-        if not a.startswith("-") or a == "-":
-            plain.append(a)
-            continue
-        name, _, given = a[2:].partition("=") if a.startswith("--") else (a[1], "", a[2:].removeprefix("="))
-        name = long.get(name, name)
-        if name in ("p", "o", "I", "f", "s", "E"):
-            options[name] = given or (rest.pop(0) if rest else "")
-        elif name == "r" and given == "false":
-            flags.add("wrapped")
-        else:
-            flags.add(name)
-    if "j" in flags:
-        options["o"] = "json"
-    expression = options.get("E") or (plain.pop(0) if plain and not os.path.isfile(plain[0]) else ".")
     try:
-        names = [] if "n" in flags else plain or ["-"]
+        while rest:
+            a = rest.pop(0)
+            if a == "--":
+                plain, rest = plain + rest, []
+            elif not a.startswith("-") or a == "-":
+                plain.append(a)
+            elif a.startswith("--"):
+                name, given, value = a[2:].partition("=")
+                _set(options, name, value if given else None, rest, a)
+            else:
+                letters = a[1:]
+                while letters:
+                    name, letters = _YQ_SHORT.get(letters[0], letters[0]), letters[1:]
+                    value = None
+                    if letters and (name in _YQ_TEXTS or letters[0] == "="):
+                        value, letters = letters.removeprefix("="), ""
+                    _set(options, name, value, rest, a)
+    except _Usage as e:
+        print(f"Error: {e}", file=stderr)
+        return 1
+    if options.get("version") or options.get("help"):
+        stdout.write("usage: python -m sylva.cli yq [eval|eval-all] [flags] [expression] [files]\n")
+        return 0
+    flags = {k for k, v in options.items() if v is True}
+    if "tojson" in flags or "toyaml" in flags:
+        options["output-format"] = "json" if "tojson" in flags else "yaml"
+    try:
+        for name, text_of in (("from-file", "expression"), ("split-exp-file", "split-exp")):
+            if name in options:
+                with open(options[name], encoding="utf-8") as f:
+                    options[text_of] = f.read()
+    except OSError as e:
+        print(f"Error: {e}", file=stderr)
+        return 1
+    interpolate = options.get("string-interpolation", True)
+    token = MERGE_TO_SPEC.set("yaml-fix-merge-anchor-to-spec" in flags)
+    expression = options.get("expression") or (plain.pop(0) if plain and not os.path.isfile(plain[0]) else ".")
+    try:
+        names = [] if "null-input" in flags else plain or ["-"]
         texts = []
         for name in names:
             if name == "-":
@@ -228,50 +301,52 @@ def yq_main(args: list[str], stdin=None, stdout=None, stderr=None) -> int:
                 with open(name, encoding="utf-8") as f:
                     texts.append(f.read())
         front = ""
-        if options.get("f") and texts:
+        if options.get("front-matter") and texts:
             texts[0], front = codecs.split_front_matter(texts[0])
-        from_ = codecs.format_of(options["p"]) if options["p"] != "auto" else codecs.format_of(names[0]) if names and names[0] != "-" else "yaml"
-        to = codecs.format_of(options["o"]) if options["o"] != "auto" else from_
-        if "P" in flags:
+        from_ = codecs.format_of(options["input-format"]) if options["input-format"] != "auto" else codecs.format_of(names[0]) if names and names[0] != "-" else "yaml"
+        to = codecs.format_of(options["output-format"]) if options["output-format"] != "auto" else from_
+        if "prettyPrint" in flags:
             expression = f"({expression}) | ... style=\"\""
-        context = Context(environment=dict(os.environ) if "no-env" not in flags else None, files=_Files())
-        if "n" in flags:
+        context = Context(environment=None if "security-disable-env-ops" in flags else dict(os.environ), files=None if "security-disable-file-ops" in flags else _Files())
+        if "null-input" in flags:
             from sylva.operators.yq_eval import evaluate, parsed
             from sylva.sources.nodes import null
 
-            found = evaluate(parsed(expression), [null()], context)
+            found = evaluate(parsed(expression, interpolate), [null()], context)
         else:
-            found = run(expression, texts, from_, all_, names, context)
-        indent = int(options["I"])
-        if "s" in options:
+            found = run(expression, texts, from_, all_, names, context, options)
+        indent = int(options["indent"])
+        if "split-exp" in options:
             from sylva.operators.yq_eval import evaluate, parsed
             from sylva.sources.nodes import scalar
 
             for k, m in enumerate(found):
-                stem = evaluate(parsed(options["s"]), [m], context.bind("$index", [scalar(k)]))[0].value
-                with open(stem if "." in stem else f"{stem}.{'yml' if to == 'yaml' else to}", "w", encoding="utf-8") as f:
-                    f.write(render([m], to, indent))
+                stem = evaluate(parsed(options["split-exp"], interpolate), [m], context.bind("$index", [scalar(k)]))[0].value
+                if os.path.dirname(stem):
+                    os.makedirs(os.path.dirname(stem), exist_ok=True)
+                with open(stem if "." in os.path.basename(stem) else f"{stem}.{'yml' if to == 'yaml' else to}", "w", encoding="utf-8") as f:
+                    f.write(render([m], to, indent, options=options))
             return 0
-        if "0" in flags:
-            text = "".join(render([m], to, indent).removesuffix("\n") + "\0" for m in found)
+        if "nul-output" in flags:
+            text = "".join(render([m], to, indent, options=options).removesuffix("\n") + "\0" for m in found)
         else:
-            text = render(found, to, indent, "wrapped" not in flags)
-            if "N" in flags:
-                text = text.replace("---\n", "")
-        text += front if options.get("f") == "process" else ""
-        if "i" in flags and names and names[0] != "-":
+            text = render(found, to, indent, options.get("unwrapScalar", True), "no-doc" not in flags, options)
+        text += front if options.get("front-matter") == "process" else ""
+        if "inplace" in flags and names and names[0] != "-":
             part = f"{names[0]}.{random.randrange(1 << 30):x}.tmp"
             with open(part, "w", encoding="utf-8") as f:
                 f.write(text)
             os.replace(part, names[0])
         else:
             stdout.write(text)
-        if "e" in flags and not any(m.real().tag != "!!null" and m.real().value != "false" for m in found):
+        if "exit-status" in flags and not any(m.real().tag != "!!null" and m.real().value != "false" for m in found):
             return 1
         return 0
-    except (YqError, JqError, OSError) as e:
+    except (YqError, JqError, OSError, ValueError) as e:
         print(f"Error: {e.message() if isinstance(e, JqError) else e}", file=stderr)
         return 1
+    finally:
+        MERGE_TO_SPEC.reset(token)
 
 
 class _Files(dict):

@@ -88,7 +88,8 @@ def _fault_row(c: Node):
 # ---- XML
 
 
-def read_xml(text: str, prefix: str = "+@", content: str = "+content") -> list[Node]:
+def read_xml(text: str, prefix: str = "+@", content: str = "+content", directive: str = "+directive", instruction: str = "+p_", directives: bool = True, instructions: bool = True, namespaces: bool = True, raw: bool = True) -> list[Node]:
+    """``namespaces`` off: names without their prefix; ``raw`` off: the prefix's address instead of the prefix."""
     if not text.strip():
         return []
     parser = expat.ParserCreate(namespace_separator=None)
@@ -108,8 +109,21 @@ def read_xml(text: str, prefix: str = "+@", content: str = "+content") -> list[N
             at = next(k for k in range(0, len(parent.content), 2) if parent.content[k].value == name)
             parent.content[at + 1] = many
 
+    known: list[dict[str, str]] = [{"xml": "http://www.w3.org/XML/1998/namespace"}]
+
+    def named(name: str, of_attribute: bool = False) -> str:
+        space, colon, local = name.rpartition(":")
+        if not namespaces:
+            return local
+        if raw or of_attribute and space in ("", "xmlns"):
+            return name
+        space = known[-1].get(space, space)
+        return f"{space}:{local}" if space else local
+
     def start(name, attributes):
-        node = mapping([(scalar(prefix + attributes[k]), scalar(attributes[k + 1])) for k in range(0, len(attributes), 2)])
+        pairs = list(zip(attributes[::2], attributes[1::2], strict=True))
+        known.append({**known[-1], **{k.partition(":")[2]: v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")}})
+        node = mapping([(scalar(prefix + named(k, True)), scalar(v)) for k, v in pairs])
         if waiting:
             node.head = "\n".join(f"# {w}" for w in waiting)
             waiting.clear()
@@ -127,16 +141,19 @@ def read_xml(text: str, prefix: str = "+@", content: str = "+content") -> list[N
             if text_:
                 node.content = [scalar(content), scalar(text_), *node.content]
             value = node
-        put(stack[-1][0], name, value.adopt())
+        put(stack[-1][0], named(name), value.adopt())
+        known.pop()
 
     parser.ordered_attributes = True
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler = start, end
     parser.CharacterDataHandler = lambda d: stack[-1][1].append(d)
     parser.CommentHandler = lambda d: waiting.append(d.strip())
-    parser.ProcessingInstructionHandler = lambda t, d: put(stack[-1][0], "+p_" + t, scalar(d))
-    parser.XmlDeclHandler = lambda version, encoding, alone: put(root, "+p_xml", scalar(f'version="{version}"' + (f' encoding="{encoding}"' if encoding else "")))
-    parser.StartDoctypeDeclHandler = lambda name, sysid, pubid, internal: put(root, "+directive", scalar("DOCTYPE " + name + (f' SYSTEM "{sysid}"' if sysid else "")))
+    if instructions:
+        parser.ProcessingInstructionHandler = lambda t, d: put(stack[-1][0], instruction + t, scalar(d))
+        parser.XmlDeclHandler = lambda version, encoding, alone: put(root, instruction + "xml", scalar(f'version="{version}"' + (f' encoding="{encoding}"' if encoding else "")))
+    if directives:
+        parser.StartDoctypeDeclHandler = lambda name, sysid, pubid, internal: put(root, directive, scalar("DOCTYPE " + name + (f' SYSTEM "{sysid}"' if sysid else "")))
     try:
         parser.Parse(text.strip(), True)
     except expat.ExpatError as e:
@@ -148,7 +165,7 @@ _XML = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
 _ATTRIBUTE = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "\n": "&#xA;", "\t": "&#x9;"})
 
 
-def write_xml(n: Node, indent: int = 2, prefix: str = "+@", content: str = "+content") -> str:
+def write_xml(n: Node, indent: int = 2, prefix: str = "+@", content: str = "+content", directive: str = "+directive", instruction: str = "+p_") -> str:
     out: list[str] = []
 
     def element(name: str, v: Node, depth: int) -> None:
@@ -186,9 +203,9 @@ def write_xml(n: Node, indent: int = 2, prefix: str = "+@", content: str = "+con
     if n.kind == SEQ:
         raise YqError("xml encoding needs a map at the top")
     for k, v in n.pairs():
-        if k.value.startswith("+p_"):
-            out.append(f"<?{k.value[3:]} {v.value}?>\n")
-        elif k.value == "+directive":
+        if k.value.startswith(instruction):
+            out.append(f"<?{k.value[len(instruction):]} {v.value}?>\n")
+        elif k.value == directive:
             out.append(f"<!{v.value}>\n")
         else:
             element(k.value, v, 0)
@@ -244,7 +261,8 @@ def read_props(text: str) -> list[Node]:
     return [root.adopt()] if found else []
 
 
-def write_props(n: Node, separator: str = " = ", unwrap: bool = True) -> str:
+def write_props(n: Node, separator: str = " = ", brackets: bool = False) -> str:
+    """``brackets``: places in arrays as [0] instead of .0."""
     out: list[str] = []
 
     def walk(v: Node, path: list[str], comment: str) -> None:
@@ -254,7 +272,7 @@ def write_props(n: Node, separator: str = " = ", unwrap: bool = True) -> str:
                 walk(x, [*path, k.value], k.head)
         elif v.kind == SEQ:
             for k, x in enumerate(v.content):
-                walk(x, [*path, str(k)], x.head)
+                walk(x, [*path[:-1], f"{path[-1]}[{k}]"] if brackets and path else [*path, str(k)], x.head)
         else:
             for c in [*comment.split("\n"), *v.head.split("\n"), v.line_comment]:
                 if c:
@@ -611,28 +629,38 @@ def read_lua(text: str) -> list[Node]:
 _LUA_WORDS = set("and break do else elseif end false for function goto if in local nil not or repeat return then true until while".split())
 
 
-def write_lua(n: Node, prefix: str = "return ", suffix: str = ";\n") -> str:
+def write_lua(n: Node, prefix: str = "return ", suffix: str = ";\n", unquoted: bool = False, as_globals: bool = False) -> str:
+    """``unquoted``: keys that are names stand bare; ``as_globals``: the top map's entries are assignments."""
+
+    def key(k: Node, bare: bool) -> str:
+        if bare and re.fullmatch(r"[A-Za-z_]\w*", k.value, re.ASCII) and k.value not in _LUA_WORDS:
+            return k.value
+        if bare and as_globals and n.real().kind == MAP and any(k is x for x, _ in n.real().pairs()):
+            raise YqError(f"{k.value!r} can't be the name of a global variable")
+        return f"[{k.value}]" if k.tag in ("!!int", "!!float", "!!bool") else f'["{k.value}"]'
+
     def value(v: Node, depth: int) -> str:
         v = v.real()
         pad = "\t" * (depth + 1)
         if v.kind == SEQ:
             return "{\n" + "".join(f"{pad}{value(c, depth + 1)},\n" for c in v.content) + "\t" * depth + "}" if v.content else "{}"
         if v.kind == MAP:
-            key = lambda k: f"[{k.value}]" if k.tag in ("!!int", "!!float", "!!bool") else f'["{k.value}"]'
-            return "{\n" + "".join(f"{pad}{key(k)} = {value(x, depth + 1)};\n" for k, x in v.pairs()) + "\t" * depth + "}" if v.content else "{}"
+            return "{\n" + "".join(f"{pad}{key(k, unquoted)} = {value(x, depth + 1)};\n" for k, x in v.pairs()) + "\t" * depth + "}" if v.content else "{}"
         if v.tag == "!!null":
             return "nil"
         if v.tag in ("!!int", "!!float", "!!bool"):
             return {".inf": "(1/0)", "-.inf": "(-1/0)", ".nan": "(0/0)"}.get(v.value, v.value.lower())
         return '"' + v.value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t") + '"'
 
+    if as_globals and n.real().kind == MAP:
+        return "".join(f"{key(k, True)} = {value(x, 0)};\n" for k, x in n.real().pairs())
     return prefix + value(n, 0) + suffix
 
 
 # ---- shell, base64, uri, kyaml
 
 
-def write_shell(n: Node) -> str:
+def write_shell(n: Node, separator: str = "_") -> str:
     out: list[str] = []
 
     def walk(v: Node, path: list[str]) -> None:
@@ -644,7 +672,7 @@ def write_shell(n: Node) -> str:
             for k, x in enumerate(v.content):
                 walk(x, [*path, str(k)])
         else:
-            name = "_".join(path) or "value"
+            name = separator.join(path) or "value"
             name = "_" + name if name[0].isdigit() else name
             text = "" if v.tag == "!!null" else v.value
             out.append(f"{name}={text if re.fullmatch(r'[A-Za-z0-9_.+,/@%:=-]*', text) and text or not text else chr(39) + text.replace(chr(39), chr(39) + chr(34) + chr(39) + chr(34) + chr(39)) + chr(39)}\n")
@@ -695,6 +723,43 @@ WRITERS: dict[str, Callable[..., str]] = {
 NAMES = {"yml": "yaml", "y": "yaml", "j": "json", "c": "csv", "t": "tsv", "x": "xml", "p": "props", "properties": "props", "tf": "hcl", "hc": "hcl", "l": "lua", "b64": "base64", "ky": "kyaml", "sh": "shell"}
 
 
+#: Options of formats by name, with the argument they set ("not" before it: turned round).
+_XML_NAMES = {"xml-attribute-prefix": "prefix", "xml-content-name": "content", "xml-directive-name": "directive", "xml-proc-inst-prefix": "instruction"}
+_XML_READ = {**_XML_NAMES, "xml-skip-directives": "not directives", "xml-skip-proc-inst": "not instructions", "xml-keep-namespace": "namespaces", "xml-raw-token": "raw"}
+_PROPS = {"properties-separator": "separator", "properties-array-brackets": "brackets"}
+_LUA = {"lua-prefix": "prefix", "lua-suffix": "suffix", "lua-unquoted": "unquoted", "lua-globals": "as_globals"}
+
+
+def _arguments(names: dict[str, str], options: dict) -> dict:
+    return {names[k].removeprefix("not "): not v if names[k].startswith("not ") else v for k, v in options.items() if k in names}
+
+
+def reader(name: str, options: dict) -> Callable[[str], list[Node]]:
+    """The reader of a format under the options of the command line."""
+    if name in ("csv", "tsv"):
+        separator = options.get("csv-separator", ",") if name == "csv" else "\t"
+        if len(separator) != 1:
+            raise YqError("csv-separator must be one character")
+        return _csv_reader(separator, options.get(f"{name}-auto-parse", True))
+    if name == "xml":
+        return lambda text: read_xml(text, **_arguments(_XML_READ, options))
+    if name not in READERS:
+        raise YqError(f"{name} can't be read")
+    return READERS[name]
+
+
+def writer(name: str, options: dict) -> Callable[[Node], str]:
+    """The writer of a format under the options of the command line."""
+    if name == "csv":
+        return _csv_writer(options.get("csv-separator", ","))
+    if name == "shell":
+        return lambda n: write_shell(n, options.get("shell-key-separator", "_"))
+    for of, write, names in (("xml", write_xml, _XML_NAMES), ("props", write_props, _PROPS), ("lua", write_lua, _LUA)):
+        if name == of:
+            return lambda n: write(n, **_arguments(names, options))  # noqa: B023
+    return WRITERS[name]
+
+
 def format_of(name: str) -> str:
     """The format of a short name, extension or file name."""
     ext = name.rsplit(".", 1)[-1].lower()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 MAP, SEQ, SCALAR, ALIAS = "map", "seq", "scalar", "alias"
@@ -165,21 +166,45 @@ def python_number(n: Node):
     return float(t)
 
 
+#: Whether merge keys follow the YAML specification: a map's own keys win, then the earlier merge. Otherwise later ones win.
+MERGE_TO_SPEC: ContextVar[bool] = ContextVar("MERGE_TO_SPEC", default=False)
+
+
+def merged(node: Node, printed: bool = False, within: tuple = ()) -> list[tuple[Node, Node]]:
+    """A map's pairs with merge keys followed; a key keeps its first place and takes its last value.
+
+    Of several maps under one merge key the later one wins where a path is followed, the earlier one where a map is written
+    out (``printed``) or merges follow the specification. A map that merges itself is passed over.
+    """
+    pairs = node.pairs()
+    if not any(k.tag == "!!merge" for k, _ in pairs):
+        return pairs
+    to_spec = MERGE_TO_SPEC.get()
+    own, taken, in_place = [], [], []
+    for k, v in pairs:
+        if k.tag != "!!merge":
+            own.append((k, v))
+            in_place.append((k, v))
+            continue
+        source = v.real()
+        parts = [p.real() for p in (source.content if source.kind == SEQ else [source])]
+        found = [merged(p, printed, (*within, node)) for p in parts if p.kind == MAP and not any(p is x for x in (*within, node))]
+        ordered = [pair for some in (found[::-1] if to_spec or printed else found) for pair in some]
+        taken.insert(0, ordered)
+        in_place += ordered
+    out: dict[str, tuple[Node, Node]] = {}
+    for k, v in [pair for some in taken for pair in some] + own if to_spec else in_place:
+        out[k.value] = (k, v)
+    return list(out.values())
+
+
 def to_value(n: Node):
     """A node as a JSON value (numbers as their own text where that differs)."""
     from sylva.functions.values import read_number
 
     n = n.real()
     if n.kind == MAP:
-        out: dict = {}
-        merged: dict = {}
-        for k, v in n.pairs():
-            if k.tag == "!!merge":
-                for part in (v.real().content if v.real().kind == SEQ else [v]):
-                    merged = {**to_value(part), **merged}
-            else:
-                out[k.real().value] = to_value(v)
-        return {**merged, **out} if merged else out
+        return {k.real().value: to_value(v) for k, v in merged(n, True)}
     if n.kind == SEQ:
         return [to_value(c) for c in n.content]
     if n.tag == "!!null":
