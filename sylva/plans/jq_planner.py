@@ -269,6 +269,10 @@ class Scalars:
     def shaped(self, name, v: Value) -> Value:
         if name == "@text":
             return text(v)
+        if name == "@json":
+            return self.call_tojson_0(v)
+        if name == "@sh" and kind(v) == "string":
+            return Value(F.concat(F.lit("'"), F.replace(as_text(v).col, F.lit("'"), F.lit("'\\''")), F.lit("'")), T.StringType())
         if name == "@base64":
             return Value(F.regexp_replace(F.base64(F.encode(text(v).col, "utf-8")), "[\\r\\n]", ""), T.StringType())
         if name == "@base64d":
@@ -385,6 +389,17 @@ class Scalars:
             return v
         if node[0] == "pipe":
             return self.mapped(self.array_map(node[1], cur), node[2])
+        if node[0] == "call" and node[1] == "limit" and len(node[2]) == 2:
+            n, arr = self.lower(node[2][0], cur), self.array_map(node[2][1], cur)
+            if not isinstance(n.literal, int) or n.literal < 0:
+                raise NotPlanned("a limit that varies")
+            return Value(F.slice(arr.col, 1, n.literal), arr.type)
+        if node[0] == "call" and node[1] == "range" and len(node[2]) in (1, 2):
+            lo, hi = [literal(0), *(self.lower(x, cur) for x in node[2])][-2:]
+            if not all(isinstance(x.type, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) for x in (lo, hi)):
+                raise NotPlanned("a range of fractions")
+            a, b = lo.col.cast("long"), hi.col.cast("long")
+            return Value(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>")), T.ArrayType(T.LongType()))
         raise NotPlanned("a generator")
 
     def mapped(self, arr: Value, f) -> Value:
@@ -708,7 +723,8 @@ class Scalars:
 
     def call_tojson_0(self, cur):
         if kind(cur) == "string":
-            raise NotPlanned("quoting")
+            inside = F.regexp_extract(F.to_json(F.array(as_text(cur).col)), r"(?s)^\[(.*)\]$", 1)
+            return Value(F.coalesce(F.replace(inside, F.lit("\x7f"), F.lit("\\u007f")), F.lit("null")), T.StringType())
         return text(cur)
 
     def call_fromjson_0(self, cur):
@@ -784,6 +800,57 @@ class Scalars:
     def call_all_0(self, cur):
         return self.call_all_1(cur, ("identity",))
 
+    def call_any_2(self, cur, source, f):
+        return self.call_any_1(self.array_map(source, cur), f)
+
+    def call_all_2(self, cur, source, f):
+        return self.call_all_1(self.array_map(source, cur), f)
+
+    def call_map_values_1(self, cur, f):
+        if cur.fields is None:
+            return self.call_map_1(cur, f)
+        if _generates(f):
+            raise NotPlanned("map_values of a stream")
+        return Value(None, None, {k: self.lower(f, v) for k, v in cur.fields.items()})
+
+    def call_getpath_1(self, cur, path):
+        at = self.lower(path, cur)
+        steps = at.literal if at.is_literal else [i.literal if i.is_literal else None for i in getattr(at, "items", None) or [literal(None)]]
+        if any(not isinstance(x, (str, int)) for x in steps):
+            raise NotPlanned("a path that varies")
+        for x in steps:
+            cur = index(cur, literal(x))
+        return cur
+
+    def call_toarray_0(self, cur):
+        return cur if kind(cur) == "array" else Value(F.array(cur.column()), T.ArrayType(_type_of(cur)))
+
+    def call_flatten_1(self, cur, depth):
+        n, v = self.lower(depth, cur), cur
+        if not isinstance(n.literal, int) or n.literal < 0:
+            raise NotPlanned("a depth that varies")
+        for _ in range(n.literal):
+            if isinstance(v.type, T.ArrayType) and isinstance(v.type.elementType, T.ArrayType):
+                v = Value(F.flatten(v.col), v.type.elementType)
+        return v
+
+    def call_trimstr_1(self, cur, a):
+        return self.call_rtrimstr_1(self.call_ltrimstr_1(cur, a), a)
+
+    def call_split_2(self, cur, a, flags):
+        return Value(F.split(as_text(cur).col, self._pattern(cur, [a, flags]), -1), T.ArrayType(T.StringType()))
+
+    def call_indices_1(self, cur, a):
+        s, x = as_text(cur).col, self.lower(a, cur)
+        if kind(cur) != "string" or not isinstance(x.literal, str) or not x.literal:
+            raise NotPlanned("indices")
+        size = len(x.literal)
+        places = F.when(F.char_length(s) >= size, F.sequence(F.lit(0).cast("long"), (F.char_length(s) - size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return Value(F.when(s.isNotNull(), F.filter(places, lambda k: F.substring(s, (k + 1).cast("int"), F.lit(size)) == x.literal)), T.ArrayType(T.LongType()))
+
+    def call_rindex_1(self, cur, a):
+        return index(self.call_indices_1(cur, a), literal(-1))
+
     def call_index_1(self, cur, a):
         s, x = cur.col, self.lower(a, cur)
         if kind(cur) != "string" or not isinstance(x.literal, str):
@@ -1102,6 +1169,8 @@ class Planner:
             return self.fold(node, s)
         if k == "call":
             name, args = node[1], node[2]
+            if name in ("any", "all") and len(args) == 2 and args[0] == ("iterate", ("identity",)):
+                node, args = ("call", name, args[1:]), args[1:]
             method = getattr(self, f"array_{name}_{len(args)}", None)
             if method:
                 return method(s, *args)

@@ -179,7 +179,9 @@ PLANNED = """length;map(.n)|add;map(.v)|max;map(.n)|min;map(.n)|sort;map(.n)|uni
 map({id,l:(.a|length)});group_by(.g)|map(map(.id));group_by(.g)|map({g:.[0].g,ids:map(.id)});group_by(.n)|map({n:.[0].n,c:length});group_by(.g)|map(max_by(.v).id);group_by(.g)|.[]|length
 unique_by(.n)|map(.id);sort_by(.g,.v)|map(.id);sort_by(-.id)|map(.id);sort_by(.v)|reverse|map(.id);[limit(2;.[])]|map(.id);map(.s//"none")|unique;reduce .[] as $r (0;.+$r.id)
 [foreach .[] as $r (0;.+$r.id)];map(if .n>5 then "hi" else "lo" end);map(.id%2);map([.id,.n]|add);map(.g|test("x|y"));map(.a|first);map(.a|reverse);map(.n|=.+1)|map(.n);map(.z);map(.id as $x|.n|.+$x)
-[.[]|.id,.n];INDEX(.id)|length;{n:length,s:(map(.id)|add)};[.[]|{g,id}]|group_by(.g)|map({g:.[0].g,m:(map(.id)|max)});map(.v|.>2 and .<50);map(select(.n))|map(.id);sort_by(.n)|.[0].id""".replace("\n", ";").split(";")
+[.[]|.id,.n];INDEX(.id)|length;{n:length,s:(map(.id)|add)};[.[]|{g,id}]|group_by(.g)|map({g:.[0].g,m:(map(.id)|max)});map(.v|.>2 and .<50);map(select(.n))|map(.id);sort_by(.n)|.[0].id
+any(.[];.n==7);all(.[];.id>0);map(any((.a//[])[];.>4));map([limit(2;(.a//[])[])]);map([range(.id)]|add);map({id,n:(.n//0)}|map_values(.+1));map(getpath(["n"]));map(.n|toarray);map(.s|tojson);map(.s|@json)
+map((.s//"it's")|@sh);map(.s//""|indices("b"));map(.s//"abab"|rindex("b"));map(.s//""|split("b *";null));map(.s//"xaxx"|trimstr("x"));map([range(2;.id)]|length)""".replace("\n", ";").split(";")
 
 
 def joined(parts: list[str]) -> list[str]:
