@@ -35,6 +35,11 @@ TEXTS, PIECE = 128, 1 << 18
 #: Share of a text's presence columns that some landmark has too, below which it is in no learned language (chance alone
 #: gives a tenth on the test tables, their shortest texts 0.7).
 KNOWN = 0.5
+#: What a text's surety must reach to be in a learned language, from so many presence columns on; texts of fewer need less, by
+#: the root of their number, as the kernel of a short text grows.
+MARGIN, FULL = 0.3, 1500
+#: Characters of a passage, where a text that falls short as a whole is scored in parts.
+PASSAGE = 200
 
 
 def columns_of(text: str) -> np.ndarray:
@@ -81,6 +86,15 @@ class Model:
     def share_known(self, columns: np.ndarray) -> float:
         return float(self.known[columns].mean())
 
+    def surety(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The predicted language's margin on a scale from 0, the mean of all margins, to 1, its own learning texts' target.
+
+        Targets of one language against the rest have the same sum in every text, and so have margins: their mean tells nothing.
+        One language alone is always sure.
+        """
+        mean = (2 - len(self.languages)) / len(self.languages)
+        return (self.margins(rows).max(1) - mean) / (1 - mean) if len(self.languages) > 1 else np.ones(len(rows))
+
 
 def fit(rows: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Nystroem features of a sample's spectra, then one ridge for each language."""
@@ -172,17 +186,46 @@ def identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return predict(spark, docs, learn(spark, docs.filter(common.remainder("doc_id", 5) != 0)))
 
 
-def recognised_documents(spark: SparkSession, docs: DataFrame, known: float = KNOWN) -> DataFrame:
+def _sure(model: Model, rows: list[np.ndarray], known: float, margin: float | np.ndarray) -> np.ndarray:
+    return (model.surety(rows) >= margin) & np.array([model.share_known(r) >= known for r in rows])
+
+
+def recognised(model: Model | None, texts: list[str | None], known: float = KNOWN, margin: float = MARGIN) -> list[bool]:
+    """Which texts are in a learned language, by the margin of the one predicted. Without a model, those with a letter.
+
+    ``known`` of a text's n-grams must be in the landmarks, or its margins say next to nothing (other scripts, binary junk).
+    Margins of several learned languages in one text cancel out: a text that falls short as a whole stays where half of its
+    passages with a letter reach ``margin`` in full.
+    """
+    out = [bool(t and _LETTER.search(t)) for t in texts]
+    on = [k for k, letter in enumerate(out) if letter and model is not None]
+    for at in range(0, len(on), TEXTS):
+        some = on[at : at + TEXTS]
+        rows = [columns_of(texts[k]) for k in some]
+        least = margin * np.minimum(1, np.sqrt(np.array([len(r) for r in rows]) / FULL))
+        for k, row, sure in zip(some, rows, _sure(model, rows, known, least), strict=True):
+            out[k] = bool(sure) or (model.share_known(row) >= known and _sure_in_passages(model, texts[k], known, margin))
+    return out
+
+
+def _sure_in_passages(model: Model, text: str, known: float, margin: float) -> bool:
+    starts = range(0, max(1, len(text) - PASSAGE // 2), PASSAGE)  # a rest of half a passage or less belongs to the last one
+    if len(starts) < 2:
+        return False
+    sure = n = 0
+    for at in range(0, len(starts), TEXTS):
+        some = [text[lo : lo + PASSAGE if lo != starts[-1] else len(text)] for lo in starts[at : at + TEXTS]]
+        rows = [columns_of(t) for t in some if _LETTER.search(t)]
+        if rows:
+            sure, n = sure + int(_sure(model, rows, known, margin).sum()), n + len(rows)
+    return 2 * sure >= n
+
+
+def recognised_documents(spark: SparkSession, docs: DataFrame, known: float = KNOWN, margin: float = MARGIN) -> DataFrame:
     """``docs`` without the rows in no learned language: whole rows, all columns.
 
-    Texts without a letter go, and those with less than ``known`` of their n-grams in the landmarks, on which the kernel says
-    next to nothing (other scripts, binary junk). Where nothing could be learned, every text with a letter stays.
+    Learns as ``identified`` does; the margin of each text's predicted language decides (``recognised``).
     """
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(learn(spark, docs.filter(common.remainder("doc_id", 5) != 0)))
-
-    def keep(texts: list[str | None]) -> list[bool]:
-        m = shared.value
-        return [bool(t and _LETTER.search(t)) and (m is None or m.share_known(columns_of(t)) >= known) for t in texts]
-
-    return common.kept_rows(docs, "text", keep)
+    return common.kept_rows(docs, "text", lambda texts: recognised(shared.value, texts, known, margin))

@@ -75,6 +75,38 @@ def test_texts_in_no_learned_language_are_told(spark):
     assert langid.recognised_documents(spark, nothing).count() == 203
 
 
+def test_documents_in_a_language_not_learned_go_by_margin(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").filter("text RLIKE '[A-Za-z]'")
+    assert langid.recognised_documents(spark, docs).count() == docs.count()
+    for left in ("en", "de", "fr"):
+        unlabelled = docs.withColumn("was", F.col("lang")).withColumn("lang", F.expr(f"nullif(lang, '{left}')"))
+        kept = {bool(r.left): r.n for r in langid.recognised_documents(spark, unlabelled).groupBy((F.col("was") == left).alias("left")).agg(F.count("*").alias("n")).collect()}
+        n = docs.filter(F.col("lang") == left).count()
+        assert kept.get(True, 0) <= n / 3 and kept[False] >= 0.995 * (docs.count() - n), (left, n, kept)
+
+
+def test_surety_is_the_predicted_margin_and_decides():
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 8)))
+    letters = {"one": "aeioulmnrst", "two": "aeioukpzvxy", "three": "bcdfghjqwaeiou"}
+    prose = lambda x, n: " ".join(word(letters[x]) for _ in range(n))
+    labels = [x for _ in range(60) for x in letters]
+    model = langid.fit([langid.columns_of(prose(x, 200)) for x in labels], labels)
+    texts = [prose(x, 200) for x in letters] + [prose("one", 1), "привет мир как дела"]
+    rows = [langid.columns_of(t) for t in texts]
+    margins = model.margins(rows)
+    assert np.allclose(margins.sum(1), -1, atol=1e-3)  # two of three targets are -1
+    assert np.allclose(model.surety(rows), (margins.max(1) + 1 / 3) / (4 / 3))
+    assert langid.recognised(model, [*texts, None, "12 34"]) == [True, True, True, True, False, False, False]
+    assert langid.recognised(model, texts[:3], margin=1.5) == [False] * 3 and langid.recognised(None, ["a", "1", None]) == [True, False, False]
+    # letters of all three in every word: their n-grams are known, but speak for no language; passages of each stay
+    jumble = " ".join("".join(rng.choice(rng.choice(list(letters.values()))) for _ in range(rng.randrange(2, 8))) for _ in range(900))
+    passages, short = (" ".join(prose(x, n) for x in letters) for n in (400, 80))
+    assert langid.recognised(model, [jumble, passages, short], known=0) == [False, True, True]
+    alone = langid.fit(rows[:1], ["one"])
+    assert langid.recognised(alone, texts[:1]) == [True]
+
+
 def test_language_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.lang_pred): r.score for r in langid.identified(spark, odd).collect()}
     assert got[5, "und"] == got[6, "und"] == got[8, "und"] == got[9, "und"] == 0 and (11, "und") not in got
