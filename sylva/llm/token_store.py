@@ -53,6 +53,11 @@ PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 PRE_TOKEN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+#: Words of more bytes than this go through the library's model one by one.
+LONGEST_WORD = 40
+#: Characters of plain texts that are looked at together.
+LOOKED_AT = 4_000_000
+
 _ID = operator.attrgetter("id")
 
 
@@ -93,12 +98,93 @@ class _Pieces(dict):
         return ids
 
 
+class _Merges:
+    """A byte-pair vocabulary's merges: a hash table of symbol pairs, looked up an array at a time."""
+
+    BITS, NONE = 19, np.int32(1 << 30)
+
+    def __init__(self, vocabulary: dict[str, int], merges: list):
+        signs = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in set(signs)]
+        written = {**{b: chr(b) for b in signs}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+        #: Ids of bytes within a word and at its end, -1 where there is none.
+        self.inner, self.last = (np.array([vocabulary.get(written[b] + end, -1) for b in range(256)], np.int32) for end in ("", "</w>"))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        self.keys = np.full((1 << self.BITS) + len(pairs), -1, np.int64)
+        self.ranks = np.full(len(self.keys), self.NONE, np.int32)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], np.int64)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slots(keys).tolist(), strict=True)):
+            while self.keys[at] not in (-1, key):
+                at += 1
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * common._GOLD >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pairs' ranks, NONE where they aren't merged."""
+        keys = left.astype(np.int64) << 32 | right
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.ranks[slots], self.NONE)
+        more = np.flatnonzero((found != keys) & (found != -1))
+        while len(more):  # another pair's slot: the next one
+            slots[more] += 1
+            found = self.keys[slots[more]]
+            out[more] = np.where(found == keys[more], self.ranks[slots[more]], self.NONE)
+            more = more[(found != keys[more]) & (found != -1)]
+        return out
+
+    def merge(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length, a row each -> (places, ids) of those done. Each round makes a word's first merge, the leftmost of them."""
+        places = np.arange(len(symbols))
+        ranks = self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(symbols), -1) if symbols.shape[1] > 1 else np.zeros((len(symbols), 0), np.int32)
+        while ranks.shape[1] and len(places):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(ranks)), at]
+            on = best < self.NONE
+            if not on.all():
+                yield places[~on], symbols[~on]
+                places, symbols, ranks, at, best = places[on], symbols[on], ranks[on], at[on], best[on]
+            rows, columns = np.arange(len(places)), np.arange(symbols.shape[1] - 1)
+            symbols = np.where(columns <= at[:, None], symbols[:, :-1], symbols[:, 1:])
+            symbols[rows, at] = self.merged[best]
+            ranks = np.where(columns[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < symbols.shape[1] - 1)
+            ranks[before, at[before] - 1] = self.rank(symbols[before, at[before] - 1], symbols[before, at[before]])
+            ranks[after, at[after]] = self.rank(symbols[after, at[after]], symbols[after, at[after] + 1])
+        yield places, symbols
+
+
+#: Kinds of bytes of plain texts in lower case: space, letter (bytes beyond ASCII are of letters alone), digit, sign.
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_KINDS = np.array([_LETTER if k >= 0x80 or chr(k).isalpha() else _DIGIT if chr(k).isdigit() else _SPACE if chr(k) in " \n" else _SIGN for k in range(256)], np.uint8)
+PLAIN_TEXT = re.compile("[ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+
+
+def pre_tokens(low: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens and the spaces between them start in a plain text's bytes: the matches of PRE_TOKEN."""
+    kinds = _KINDS[low]
+    starts = np.ones(len(low) + 3, bool)
+    starts[1 : len(low)] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+    quotes = np.flatnonzero((low == ord("'")) & starts[: len(low)])
+    one, two = (np.concatenate([low, [32, 32]])[quotes + k] for k in (1, 2))
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    starts[quotes[short | long] + 1] = False
+    starts[quotes[short] + 2] = starts[quotes[long] + 3] = True
+    return np.flatnonzero(starts[: len(low)])
+
+
 class Encoder:
-    """text -> ids as little-endian uint32 bytes, by the tokenizers library.
+    """text -> ids as little-endian uint32 bytes, by the tokenizers library's vocabulary.
 
-    The vocabulary's pre-tokens never span a space or a line feed, so pieces between them are encoded on their own and
-    remembered, up to a bound. Plain pieces are made of remembered pre-tokens; the library's model encodes new ones.
-    Other pieces go through the whole library.
+    Plain texts are cut into pre-tokens many texts at a time, and the different ones among these merged in arrays, those of
+    one length together. In other texts, pieces between spaces and line feeds, which pre-tokens never span, are encoded on
+    their own and remembered, up to a bound: plain pieces are made of remembered pre-tokens, new ones by the library's
+    model, other pieces by the whole library.
     """
 
     def __init__(self, path: str, remembered: int = 300_000):
@@ -107,10 +193,88 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.pieces = _Pieces(Tokenizer.from_file(path), remembered)
+        tokenizer = Tokenizer.from_file(path)
+        self.pieces = _Pieces(tokenizer, remembered)
+        model = json.loads(tokenizer.to_str())["model"]
+        merges_alone = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        self.merges = _Merges(model["vocab"], model["merges"]) if self.pieces.by_words and merges_alone else None
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """One after the other, LOOKED_AT characters at a time; longer texts are cut at spaces."""
+        at = 0
+        while at < len(texts):
+            some: list[str] = []
+            held = 0
+            while at < len(texts) and (not some or held + len(texts[at] or "") <= LOOKED_AT):
+                some.append(texts[at] or "")
+                held += len(some[-1])
+                at += 1
+            plain = [self.merges is not None and "<|" not in t and PLAIN_TEXT.fullmatch(t) is not None for t in some]
+            if held > LOOKED_AT and plain[0]:
+                yield b"".join(ids for part in _parts_of(some[0]) for ids in self._plain([part]))
+                continue
+            done = iter(self._plain([t for t, p in zip(some, plain, strict=True) if p]))
+            for text, p in zip(some, plain, strict=True):
+                yield next(done) if p else b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw = [t.lower().encode() for t in texts]
+        low = np.frombuffer(b"\n".join(raw), np.uint8)
+        if not len(low):
+            return [b""] * len(texts)
+        starts = pre_tokens(low)
+        offsets = np.append(starts, len(low)).astype(np.int32)
+        tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        which = tokens.indices.to_numpy()
+        firsts, sizes, ids = self._merged(tokens.dictionary)
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        found = ids[np.repeat(firsts[which] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4").tobytes()
+        begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        ends = (4 * upto[np.searchsorted(starts, begins)]).tolist()
+        return [found[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _merged(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different pre-tokens -> first place and number of each one's ids, and all ids; spaces have none."""
+        _, offsets, data = tokens.buffers()
+        ends = np.frombuffer(offsets, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+        letters, lengths = np.frombuffer(data, np.uint8), np.diff(ends)
+        firsts, sizes, made, total = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64), [], 0
+        lengths[_KINDS[letters[ends[:-1]]] == _SPACE] = 0
+        order = np.argsort(lengths, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            length = lengths[rows[0]]
+            if not length:
+                continue
+            fit = np.zeros(len(rows), bool)
+            if length <= LONGEST_WORD:
+                bytes_ = letters[ends[rows][:, None] + np.arange(length)]
+                symbols = np.concatenate([self.merges.inner[bytes_[:, :-1]], self.merges.last[bytes_[:, -1:]]], axis=1)
+                fit = (symbols >= 0).all(1)
+                for places, ids in self.merges.merge(symbols[fit]):
+                    at = rows[fit][places]
+                    firsts[at], sizes[at] = total + ids.shape[1] * np.arange(len(ids)), ids.shape[1]
+                    made.append(ids.ravel())
+                    total += ids.size
+            for at in rows[~fit].tolist():
+                ids = np.frombuffer(self.pieces.words[tokens[at].as_py().decode()], "<u4").astype(np.int32)
+                firsts[at], sizes[at] = total, len(ids)
+                made.append(ids)
+                total += len(ids)
+        return firsts, sizes, np.concatenate(made) if made else np.zeros(0, np.int32)
+
+
+def _parts_of(text: str) -> Iterator[str]:
+    """A long text in parts that end at spaces."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + LOOKED_AT)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
 
 @functools.cache
@@ -176,11 +340,11 @@ def encoded(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, text -> one row per document with its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, end = encoder(path).encode, zstandard.ZstdCompressor(level=3), np.array([end_id], "<u4").tobytes()
+        encode, packer, end = encoder(path).encode_all, zstandard.ZstdCompressor(level=3), np.array([end_id], "<u4").tobytes()
         for ids, texts in common.column_lists(batches):
             rows = []
-            for text in texts:
-                raw = encode(text) + end
+            for raw in encode(texts):
+                raw += end
                 ends = borders(np.frombuffer(raw, "<u4"))
                 parts = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
                 names = [chunk_name(p) for p in parts]

@@ -21,6 +21,18 @@ def test_remembered_pieces_encode_as_the_library(tokenizer, text):
     assert store.encoder(store.tokenizer_path()).encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_texts_are_encoded_together_as_the_library_does(tokenizer, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aeinorstléßÖ'.,;-#059  \n"), n)) for n in rng.integers(0, 400, 300)]
+    texts += ["don'ts 'tis 'll'd 're's ''s x'", "co" * 60 + " " + "=" * 90, "\u4e00 a", None, "", " ", "It's\tso", "Z" * 41]
+    wanted = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = store.Encoder(store.tokenizer_path())
+    assert list(encoder.encode_all(texts)) == wanted
+    assert not any(p in encoder.pieces for p in "don'ts 'tis".split())  # plain texts' pieces are neither remembered nor encoded one by one
+    monkeypatch.setattr(store, "LOOKED_AT", 50)
+    assert list(encoder.encode_all(texts)) == wanted
+
+
 def brute(tokenizer, rows):
     start, out = 0, []
     for doc, text in rows:
