@@ -254,8 +254,8 @@ def label_model(moments: Moments, n_voters: int, rounds: int = 1_000) -> LabelMo
     return LabelModel(float(np.clip(prior, 1e-3, 0.999)), a, b, dependence, 1 / (1 + beside))
 
 
-def moments_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, voters: Voters) -> Moments:
-    """Firing counts over all of ``docs`` by known label; ``labels``: doc_id, y. Partial sums of fixed size are added up."""
+def moments_of(looks: DataFrame, labels: DataFrame, voters: Voters) -> Moments:
+    """Firing counts over all of ``looks`` by known label; ``labels``: doc_id, y. Partial sums of fixed size are added up."""
     v = voters.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,21 +270,41 @@ def moments_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, voters:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), y, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["y", "at", "n"])
 
-    marked = _fired(docs, voters).join(labels, "doc_id", "left").select(F.coalesce("y", F.lit(-1)).alias("y"), "mask")
+    marked = looks.select("doc_id", "mask").join(labels, "doc_id", "left").select(F.coalesce("y", F.lit(-1)).alias("y"), "mask")
     out: dict[int, np.ndarray] = {}
     for r in marked.mapInArrow(run, "y int, at int, n double").groupBy("y", "at").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r.y, np.zeros(1 + v + v**2))[r["at"]] = r.n
     return {y: (float(t[0]), t[1 : v + 1], t[v + 1 :].reshape(v, -1)) for y, t in out.items()}
 
 
-def _fired(docs: DataFrame, voters: Voters) -> DataFrame:
-    """doc_id, mask (voters that fire, as bits)."""
+def looked_at(spark: SparkSession, docs: DataFrame, voters: Voters) -> DataFrame:
+    """doc_id, draw (a hash of the text), mask (voters that fire, as bits), cols (hashed columns, packed) of every row, staged.
+
+    Rates, sample and scores are read from it, so that a text is looked at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.column_lists(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([voters.mask(voters.look(t)[0]) for t in texts], pa.binary())], names=["doc_id", "mask"])
+        for ids, draws, texts in common.column_lists(batches):
+            made = [voters.look(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(draws, pa.int64()), pa.array([voters.mask(f) for f, _ in made], pa.binary()), pa.array([packed(c) for _, c in made], pa.binary())], names=["doc_id", "draw", "mask", "cols"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(5), "text").alias("draw"), F.col("text").cast("string").alias("text"))
+    return common.stage(spark, rows.mapInArrow(run, "doc_id long, draw long, mask binary, cols binary"), "looks")
+
+
+def packed(columns: list[int]) -> bytes:
+    """Hashed columns in ascending order as numbers of two bytes, or all columns as bits where that is no longer."""
+    if 2 * len(columns) < HASHED // 8:
+        return np.array(columns, "<u2").tobytes()
+    bits = np.zeros(HASHED, bool)
+    bits[columns] = True
+    return np.packbits(bits).tobytes()
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, mask binary")
+def unpacked(columns: bytes) -> np.ndarray:
+    if len(columns) < HASHED // 8:
+        return np.frombuffer(columns, "<u2").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(columns, np.uint8)))
 
 
 @dataclass
@@ -295,12 +315,17 @@ class Classifier:
     bias: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = np.full(len(texts), self.bias)
-        for k, text in enumerate(texts):
-            fired, columns = self.voters.look(text)
-            if fired:
-                z[k] += self.weights[list(fired)].sum()
-            if columns:
+        looks = [self.voters.look(t) for t in texts]
+        return self.scores_of([self.voters.mask(f) for f, _ in looks], [packed(c) for _, c in looks])
+
+    def scores_of(self, masks: list[bytes], packs: list[bytes]) -> np.ndarray:
+        """Of texts looked at before."""
+        z = np.full(len(masks), self.bias)
+        for k, (votes, pack) in enumerate(zip(self.voters.unmask(masks), packs, strict=True)):
+            fired, columns = np.flatnonzero(votes), unpacked(pack)
+            if len(fired):
+                z[k] += self.weights[fired].sum()
+            if len(columns):
                 z[k] += self.hashed[columns].sum() / len(columns) ** 0.5
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -329,16 +354,20 @@ def train(voters: Voters, votes: np.ndarray, hashed: list[np.ndarray], target: n
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Classifier]:
     """Label model over all ``docs``; classifier on ``sample`` of them, half with a firing voter where there are enough."""
     voters = mine(spark, docs, labels)
-    model = label_model(moments_of(spark, docs, labels, voters), voters.n)
-    draw = F.xxhash64(F.lit(5), "text")
-    total = docs.count()
-    chance = min(1.0, 4 * sample / max(total, 1))
-    drawn = docs.filter(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < chance).select("text")
+    looks = looked_at(spark, docs, voters)
+    learned = learn_from(spark, looks, labels, voters, sample)
+    common.remove(spark, looks)
+    return learned
+
+
+def learn_from(spark: SparkSession, looks: DataFrame, labels: DataFrame, voters: Voters, sample: int = SAMPLE) -> tuple[LabelModel, Classifier]:
+    model = label_model(moments_of(looks, labels, voters), voters.n)
+    chance = min(1.0, 4 * sample / max(looks.count(), 1))
+    drawn = looks.filter(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < chance).select("mask", "cols")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in common.column_lists(batches):
-            made = [voters.look(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([bool(f) for f, _ in made]), pa.array([voters.mask(f) for f, _ in made], pa.binary()), pa.array([np.array(c, "<u2").tobytes() for _, c in made], pa.binary())], names=["fires", "mask", "cols"])
+        for masks, packs in common.column_lists(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([any(m) for m in masks]), pa.array(masks, pa.binary()), pa.array([unpacked(c).astype("<u2").tobytes() for c in packs], pa.binary())], names=["fires", "mask", "cols"])
 
     made = common.stage(spark, drawn.mapInArrow(run, "fires boolean, mask binary, cols binary"), "drawn")
     rows = [r for fires in (True, False) for r in made.filter(F.col("fires") == fires).orderBy(F.xxhash64("cols", "mask")).limit(sample // 2).collect()]
@@ -355,18 +384,26 @@ def known(labels: DataFrame, column: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    _, classifier = learn(spark, docs, known(common.table(spark, sf_dir, "labels"), "toxic"))
-    return scored(spark, docs, classifier.scores, THRESHOLD)
+    labels = known(common.table(spark, sf_dir, "labels"), "toxic")
+    voters = mine(spark, docs, labels)
+    looks = looked_at(spark, docs, voters)
+    _, classifier = learn_from(spark, looks, labels, voters)
+    return _scored(spark, looks.select("doc_id", "mask", "cols"), classifier.scores_of, THRESHOLD)
 
 
 def scored(spark: SparkSession, docs: DataFrame, scores, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; ``scores``: list of texts -> array of numbers."""
+    return _scored(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scores, threshold)
+
+
+def _scored(spark: SparkSession, rows: DataFrame, scores, threshold: float) -> DataFrame:
+    """``scores`` takes the lists of all columns after doc_id."""
     shared = spark.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        for ids, texts in common.column_lists(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(of(texts), pa.float64())], names=["doc_id", "score"])
+        for ids, *columns in common.column_lists(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(of(*columns), pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = rows.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (common.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -250,6 +250,20 @@ def test_label_model_recovers_rates():
     assert (0, 11) in model.dependent and model.weight[11] < model.weight[5]
 
 
+def test_every_text_is_looked_at_once(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(toxicity, "_scored", lambda spark, rows, scores, threshold: made.append((rows, scores)) or rows)
+    toxicity.op7_toxicity(spark, sf)
+    (rows, scores), docs = made[0], {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert rows.columns == ["doc_id", "mask", "cols"]  # scores come from what was seen of the texts before
+    found = [(r.doc_id, bytes(r.mask), bytes(r.cols)) for r in rows.collect()]
+    assert sorted(d for d, *_ in found) == sorted(docs)
+    wanted = scores.__self__.scores([docs[d] for d, *_ in found])
+    assert np.array_equal(scores([m for _, m, _ in found], [c for *_, c in found]), wanted)
+    for n in (0, 1, 127, 128, toxicity.HASHED):
+        assert toxicity.unpacked(toxicity.packed(list(range(n)))).tolist() == list(range(n))
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, None, None), (None, 0, 1), (12, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     model, classifier = toxicity.learn(spark, odd.select("doc_id", "text"), toxicity.known(labels, "toxic"))
