@@ -122,3 +122,31 @@ def test_group_by_is_sort_and_split(rows):
     groups = evaluate("group_by(.k)", rows)[0]
     assert [r for g in groups for r in g] == evaluate("sort_by(.k)", rows)[0]
     assert len(groups) == len(evaluate("unique_by(.k)", rows)[0])
+
+
+@pytest.mark.parametrize("layout", ["%Y-%m-%dT%H:%M:%SZ", "%FT%TZ", "%d.%m.%Y"])
+def test_a_date_costs_its_own_directives_alone(layout):
+    import datetime
+    import random
+    import sys
+
+    from sylva.functions import jq_dates
+
+    rng, calls = random.Random(2), []
+    for seconds in [rng.randrange(-(10**9), 4 * 10**9) for _ in range(50)]:
+        sys.setprofile(lambda frame, event, what: calls.append(what.__name__) if event == "c_call" else calls.append(frame.f_code.co_name) if event == "call" else None)
+        try:
+            text = jq_dates.formatted(seconds, layout)
+            fields = jq_dates.parsed(text, layout)
+        finally:
+            sys.setprofile(None)
+        t = datetime.datetime.fromtimestamp(seconds, datetime.UTC)
+        assert text == t.strftime(layout)
+        assert fields == [t.year, t.month - 1, t.day, t.hour, t.minute, t.second, t.isoweekday() % 7, t.timetuple().tm_yday - 1] if "H" in layout or "T" in layout else fields[:3] == [t.year, t.month - 1, t.day]
+    assert calls.count("strftime") <= 50 * len(layout.split("%")) and calls.count("_strptime") == 0
+
+
+@pytest.mark.parametrize("text", ["2023-02-29", "2024-13-01", "0000-01-01", "2024-01-32", "2024-01-05T00:00:00", "24-01-05"])
+def test_dates_that_are_none_are_errors(text):
+    with pytest.raises(JqError, match="does not match format"):
+        list(Program('strptime("%Y-%m-%d")').run(text))
