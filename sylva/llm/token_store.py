@@ -55,8 +55,8 @@ PRE_TOKEN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d
 
 #: Words of more bytes than this go through the library's model one by one.
 LONGEST_WORD = 40
-#: Characters of plain texts that are looked at together.
-LOOKED_AT = 4_000_000
+#: Characters of plain texts that are looked at together; pre-tokens whose ids are put in place together.
+LOOKED_AT, PLACED = 4_000_000, 1 << 17
 
 _ID = operator.attrgetter("id")
 
@@ -168,14 +168,16 @@ def pre_tokens(low: np.ndarray) -> np.ndarray:
     """Where the pre-tokens and the spaces between them start in a plain text's bytes: the matches of PRE_TOKEN."""
     kinds = _KINDS[low]
     starts = np.ones(len(low) + 3, bool)
-    starts[1 : len(low)] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+    np.not_equal(kinds[1:], kinds[:-1], out=starts[1 : len(low)])
+    starts[1 : len(low)] |= kinds[1:] == _DIGIT
     quotes = np.flatnonzero((low == ord("'")) & starts[: len(low)])
-    one, two = (np.concatenate([low, [32, 32]])[quotes + k] for k in (1, 2))
+    one, two = (np.where(quotes + k < len(low), low[np.minimum(quotes + k, len(low) - 1)], 32) for k in (1, 2))
     short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
     long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
     starts[quotes[short | long] + 1] = False
     starts[quotes[short] + 2] = starts[quotes[long] + 3] = True
-    return np.flatnonzero(starts[: len(low)])
+    step = 1 << 20
+    return np.concatenate([np.flatnonzero(starts[at : min(at + step, len(low))]).astype(np.int32) + np.int32(at) for at in range(0, len(low), step)])
 
 
 class Encoder:
@@ -220,29 +222,42 @@ class Encoder:
             for text, p in zip(some, plain, strict=True):
                 yield next(done) if p else b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        ids, ends = self._ids(texts)
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield ids[a:b].tobytes()
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts, and where each text's begin, the last place being the end. Arrays as long as the texts are few and narrow here."""
         raw = [t.lower().encode() for t in texts]
+        begins = np.cumsum([0, *(len(r) + 1 for r in raw)], dtype=np.int32)
         low = np.frombuffer(b"\n".join(raw), np.uint8)
+        del raw
         if not len(low):
-            return [b""] * len(texts)
+            return np.zeros(0, "<u4"), [0] * (len(texts) + 1)
         starts = pre_tokens(low)
-        offsets = np.append(starts, len(low)).astype(np.int32)
-        tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        begins = np.searchsorted(starts, begins)
+        offsets = np.append(starts, np.int32(len(low)))
+        del starts
+        tokens = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        del offsets, low
         which = tokens.indices.to_numpy()
         firsts, sizes, ids = self._merged(tokens.dictionary)
-        n = sizes[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        found = ids[np.repeat(firsts[which] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4").tobytes()
-        begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-        ends = (4 * upto[np.searchsorted(starts, begins)]).tolist()
-        return [found[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        upto = np.zeros(len(which) + 1, np.int32)
+        np.cumsum(sizes[which], out=upto[1:])
+        found = np.empty(upto[-1], "<u4")
+        for at in range(0, len(which), PLACED):
+            some = which[at : at + PLACED]
+            lo, hi = upto[at], upto[at + len(some)]
+            found[lo:hi] = ids[np.repeat(firsts[some] - upto[at : at + len(some)], sizes[some]) + np.arange(lo, hi)]
+        return found, upto[begins].tolist()
 
     def _merged(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different pre-tokens -> first place and number of each one's ids, and all ids; spaces have none."""
         _, offsets, data = tokens.buffers()
         ends = np.frombuffer(offsets, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
         letters, lengths = np.frombuffer(data, np.uint8), np.diff(ends)
-        firsts, sizes, made, total = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64), [], 0
+        firsts, sizes, made, total = np.zeros(len(tokens), np.int32), np.zeros(len(tokens), np.int32), [], 0
         lengths[_KINDS[letters[ends[:-1]]] == _SPACE] = 0
         order = np.argsort(lengths, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):

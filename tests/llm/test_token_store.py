@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -33,6 +34,21 @@ def test_plain_texts_are_encoded_together_as_the_library_does(tokenizer, monkeyp
     assert list(encoder.encode_all(texts)) == wanted
 
 
+def test_encoding_together_holds_few_bytes_a_character(tokenizer):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinorstl"), n)) for n in rng.integers(1, 9, 3000)]
+    texts = [" ".join(rng.choice(words, 2000)) for _ in range(200)]
+    encoder = store.Encoder(store.tokenizer_path())
+    tracemalloc.start()
+    try:
+        sizes = [len(ids) for ids in encoder.encode_all(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [4 * len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert peak < 20 * sum(map(len, texts))
+
+
 def brute(tokenizer, rows):
     start, out = 0, []
     for doc, text in rows:
